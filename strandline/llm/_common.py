@@ -68,6 +68,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
+    """Keep Arrow batches small, so that a Python worker holds few long texts at once. Only ever lowers what is set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of a column's decimal text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

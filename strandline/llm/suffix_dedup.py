@@ -9,12 +9,11 @@ How the ranks double:
   smallest hashed 50-byte prefix (leftmost on ties). Equal windows pick the same position, so equality of
   windows is decided among equal sampled positions only; about 1.3 % of all bytes are sampled.
   The windows that pick one position form its *run*, a stretch of at most 350 bytes.
-* Round 50: positions are sorted by the rank of their 50-byte prefix (a 64-bit name, as in Karp, Miller and
-  Rosenberg); a rank that occurs once is unique and leaves.
-* Round of the run: survivors get the rank of their whole run, at least ``length`` bytes. A repeated rank is past the
-  threshold: the whole run repeats. If all positions with one prefix have one run rank, they are settled.
-* Rounds 100 and 200: where one prefix has several run ranks (the edges of a repeat), one copy of each distinct run
-  sends its windows as pairs (rank of 100 bytes at q, rank of 100 bytes at q + 100); those that pair up with another repeat.
+* Each round gives every entry two ranks: that of its core, which all its windows hold, and that of its hull, which they span.
+  A core that occurs once is unique: its windows leave. If all entries with one core share one hull, whole windows repeat:
+  past the threshold. Otherwise one copy of each distinct hull goes on to the next round with longer cores.
+* Rounds: the core is 50 bytes and the hull a run; then 185 bytes and up to 16 neighbouring windows; then 200 bytes, one
+  window, named by the pair (rank of 100 bytes at q, rank of 100 bytes at q + 100).
 
 Names are 64-bit polynomial hashes with random tables; a window's name is a pair of independent ones.
 
@@ -35,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, mix64, texts
+from ._common import U64, materialise, mix64, small_batches, texts
 
 PREFIX = 50
-CHUNK = 1 << 19
+BLOCK = 16
+CHUNK = 1 << 16
 
-ANCHORS = "k1 long, k2 int, pos long, kh long, seg long"
-WINDOWS = "k1 long, k2 int, q long, own boolean, w1 long, w2 long"
+#: pos: first window << 16 | bytes from there to the sampled position << 8 | windows. own: is a result wanted for it?
+ENTRIES = "k1 long, k2 int, pos long, own boolean, core long, hull long"
+NAMES = [f.split(" ")[0] for f in ENTRIES.split(", ")]
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -83,13 +84,13 @@ class Names:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that pick one position: first window, windows, prefix name, run name.
+    """Runs of windows that pick one position: first window, sampled position, windows, prefix name, run name.
 
     ``data`` holds whole texts side by side, ``ends`` the end of the text that each byte lies in."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
+        return none, none, none, none, none
     a, b = Names.get(1), Names.get(2)
     sums = a.sums(data)
     prefix = mix64(a.every(sums, PREFIX))
@@ -103,13 +104,13 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     inside = np.arange(n) + length <= ends[:n]
     starts = np.flatnonzero(inside & np.concatenate(([True], (pick[1:] != pick[:-1]) | ~inside[:-1] | (ends[1:n] != ends[: n - 1]))))
     if not len(starts):
-        return none, none, none, none
+        return none, none, none, none, none
     gone = np.concatenate((np.flatnonzero(~inside), [n]))
     stop = np.minimum(np.append(starts[1:], n), gone[np.searchsorted(gone, starts)])
     at = pick[starts]
     whole = b.of(b.sums(data), starts, stop + length - 1)
     name = mix64(whole ^ mix64(((at - starts) << 20 | (stop - starts)).astype(U64)))
-    return starts, stop - starts, prefix[at].view(np.int64), name.view(np.int64)
+    return starts, at, stop - starts, prefix[at].view(np.int64), name.view(np.int64)
 
 
 def _chunks(bounds: np.ndarray, length: int):
@@ -140,51 +141,66 @@ def _anchor_rows(length: int):
                 sizes = np.array([e - s for _, s, e in group])
                 part = np.concatenate([data[s:e] for _, s, e in group])
                 first = np.cumsum(sizes) - sizes
-                start, count, kh, seg = runs(part, np.repeat(first + sizes, sizes), length)
+                start, pick, count, core, hull = runs(part, np.repeat(first + sizes, sizes), length)
                 which = np.searchsorted(first, start, "right") - 1
                 doc = np.array([d for d, _, _ in group])[which]
                 at = start - first[which] + np.array([s - bounds[d] for d, s, _ in group])[which]
-                yield pa.RecordBatch.from_arrays([k1.take(pa.array(doc)), k2.take(pa.array(doc)), pa.array(at << 16 | count), pa.array(kh), pa.array(seg)], ["k1", "k2", "pos", "kh", "seg"])
+                pos = at << 16 | (pick - start) << 8 | count
+                yield pa.RecordBatch.from_arrays([k1.take(pa.array(doc)), k2.take(pa.array(doc)), pa.array(pos), pa.array(np.ones(len(pos), bool)), pa.array(core), pa.array(hull)], NAMES)
 
     return rows
 
 
-def _window_rows(length: int):
+def blocks(first, rel, count, length: int, size: int):
+    """Cuts runs at multiples of ``size`` windows, counted back from the sampled position.
+
+    Gives for each block: its run, first window, windows, and the start and length of its core."""
+    high, low = rel // size, (rel - count + 1) // size
+    n = high - low + 1
+    run = np.repeat(np.arange(len(first)), n)
+    j = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    point, widest = (first + rel)[run], length - PREFIX
+    back, least = np.minimum(rel[run], j * size + size - 1), np.maximum((rel - count + 1)[run], j * size)
+    start = point - j * size
+    return run, point - back, back - least + 1, start, length - (np.minimum(j * size + size - 1, widest) - j * size)
+
+
+def _block_rows(length: int, size: int):
     half = length // 2
 
     def rows(batches):
         a, b = Names.get(3), Names.get(4)
         for batch in batches:
             data, bounds = texts(batch.column(2))
-            for d, runs_of in enumerate(batch.column(3).to_pylist()):
+            for d, found in enumerate(batch.column(3).to_pylist()):
                 text = data[bounds[d] : bounds[d + 1]]
-                out = []
-                for lo in range(0, max(1, len(text) - length + 1), CHUNK):
-                    mine = [r for r in runs_of if lo <= r["pos"] >> 16 < lo + CHUNK]
-                    if not mine:
+                pos_all = np.array([r["pos"] for r in found], np.int64)
+                own_all = np.array([r["own"] for r in found], bool)
+                for lo in range(0, max(1, len(text)), CHUNK):
+                    mine = (pos_all >> 16 >= lo) & (pos_all >> 16 < lo + CHUNK)
+                    if not mine.any():
                         continue
-                    part = text[lo : lo + CHUNK + 65536 + length]
-                    q = np.concatenate([np.arange(r["pos"] & 0xFFFF) + (r["pos"] >> 16) - lo for r in mine])
-                    own = np.repeat([bool(r["own"]) for r in mine], [r["pos"] & 0xFFFF for r in mine])
-                    names = []
-                    for h in (a, b):
-                        sums = h.sums(part)
-                        left, right = h.of(sums, q, q + half), h.of(sums, q + half, q + length)
-                        names.append(mix64(mix64(left) + right).view(np.int64))
-                    out.append((q + lo, own, *names))
-                if out:
-                    q, own, w1, w2 = (np.concatenate(x) for x in zip(*out))
+                    pos, own, back = pos_all[mine], own_all[mine], max(0, lo - length)
+                    part = text[back : lo + CHUNK + 3 * length]
+                    run, q, n, c, clen = blocks((pos >> 16) - back, pos >> 8 & 0xFF, pos & 0xFF, length, size)
+                    sums = [h.sums(part) for h in (a, b)]
+                    point = ((pos >> 16) + (pos >> 8 & 0xFF) - back)[run]
+                    if size == 1:  # the pair of ranks at q and q + half
+                        core, hull = (mix64(mix64(h.of(s, q, q + half)) + h.of(s, q + half, q + length)) for h, s in zip((a, b), sums))
+                    else:
+                        core = mix64(mix64(a.of(sums[0], c, c + clen)) + (point - c).astype(U64))
+                        hull = mix64(mix64(b.of(sums[1], q, q + n - 1 + length)) + ((point - q) << 8 | n).astype(U64))
                     at = pa.array(np.full(len(q), d))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(q), pa.array(own), pa.array(w1), pa.array(w2)], ["k1", "k2", "q", "own", "w1", "w2"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((q + back) << 16 | (point - q) << 8 | n), pa.array(own[run]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], NAMES)
 
     return rows
 
 
 def merged(pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal byte runs covered by windows given as first << 16 | count."""
+    """Maximal byte runs covered by windows."""
     lo = pos >> 16
     order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], (lo + (pos & 0xFFFF) - 1 + length)[order]
+    lo, hi = lo[order], (lo + (pos & 0xFF) - 1 + length)[order]
     reach = np.maximum.accumulate(hi)
     new = np.concatenate(([True], lo[1:] > reach[:-1]))
     last = np.concatenate((np.flatnonzero(new)[1:] - 1, [len(lo) - 1]))
@@ -219,28 +235,41 @@ def _result_rows(length: int):
     return rows
 
 
+def _ranked(entries: DataFrame) -> DataFrame:
+    """Entries whose core occurs again, with whether all of that core share one hull."""
+    ranks = entries.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("hull").alias("a"), F.max("hull").alias("b"))
+    return entries.join(ranks.filter("c > 1").select("core", (F.col("a") == F.col("b")).alias("settled")), "core")
+
+
+def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Positions that repeat, and the entries of the next round by document: one for each distinct hull."""
+    at = ["k1", "k2", "pos"]
+    mixed = ranked.filter("not settled").drop("settled")
+    names = mixed.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*at, "own")).alias("one"))
+    again = mixed.filter("own").join(names.filter("c > 1").select("core", "hull"), ["core", "hull"])
+    entry = F.struct("one.pos", (F.col("one.own") & (F.col("c") == 1)).alias("own"))
+    lone = names.groupBy(F.col("one.k1").alias("e1"), F.col("one.k2").alias("e2")).agg(F.collect_list(entry).alias("entries"))
+    return ranked.filter("settled and own").select(*at).unionAll(again.select(*at)), lone
+
+
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
-    """Runs of windows that repeat: (k1, k2, pos), pos = first window << 16 | windows. ``docs``: k1, k2, text."""
-    if length < PREFIX + 1 or length % 2:
-        raise ValueError(f"length must be even and over {PREFIX}")
-    found = docs.mapInArrow(_anchor_rows(length), ANCHORS)
-    ranks = found.groupBy("kh").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("a"), F.max("seg").alias("b"))
-    left = found.join(ranks.filter("c > 1").select("kh", (F.col("a") == F.col("b")).alias("settled")), "kh")
-    settled = left.filter("settled").select("k1", "k2", "pos")
-    mixed = left.filter("not settled").drop("settled")
-    one = F.min(F.struct("k1", "k2", "pos"))
-    names = mixed.groupBy("kh", "seg").agg(F.count(F.lit(1)).alias("c"), one.alias("one"))
-    again = mixed.join(names.filter("c > 1").select("kh", "seg"), ["kh", "seg"]).select("k1", "k2", "pos")
-    lone = names.select(F.col("one.k1").alias("e1"), F.col("one.k2").alias("e2"), F.struct(F.col("one.pos").alias("pos"), (F.col("c") == 1).alias("own")).alias("r"))
-    lone = lone.groupBy("e1", "e2").agg(F.collect_list("r").alias("runs"))
-    windows = docs.join(lone, F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2"))).select("k1", "k2", "text", "runs").mapInArrow(_window_rows(length), WINDOWS)
-    pairs = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-    edges = windows.filter("own").join(pairs, ["w1", "w2"]).select("k1", "k2", F.expr("shiftleft(q, 16) + 1").alias("pos"))
-    return settled.unionAll(again).unionAll(edges)
+    """Windows that repeat: (k1, k2, pos). ``docs``: k1, k2, text."""
+    if not PREFIX < length <= 300 or length % 2:
+        raise ValueError(f"length must be even, over {PREFIX} and at most 300")
+    ranked = materialise(_ranked(docs.mapInArrow(_anchor_rows(length), ENTRIES)))
+    found, lone = _split(ranked)
+    for size in (BLOCK, 1):
+        here = docs.join(lone, F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
+        ranked = _ranked(here.select("k1", "k2", "text", "entries").mapInArrow(_block_rows(length, size), ENTRIES))
+        if size == 1:
+            return found.unionAll(ranked.filter("settled and own").select("k1", "k2", "pos"))
+        more, lone = _split(ranked)
+        found = found.unionAll(more)
 
 
 def suffix_dedup(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. See the module's text for the cases."""
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("k1"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"), F.col(text_col).alias("text"))
     spans = repeated_windows(docs, length).groupBy(F.col("k1").alias("e1"), F.col("k2").alias("e2")).agg(F.collect_list("pos").alias("spans"))
     joined = docs.join(spans, F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")), "left")
