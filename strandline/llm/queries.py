@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, secret_scan
 from ._common import table
+from .fingerprints import edited_fingerprints
+from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
@@ -23,16 +25,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_secret_scan, op8_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_secret_scan, op4_jaccard_join, op8_mixing, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
