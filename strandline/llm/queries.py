@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secret_scan
+from . import language, mixing, quality, secret_scan
 from ._common import table
 from .fingerprints import edited_fingerprints
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
+from .vector_dedup import vector_dedup
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,22 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    net = language.learn(documents, ~language.held_out_fifth())
+    return language.identify_languages(documents, net, language.held_out_fifth())
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.learn(documents, table(spark, sf_dir, "labels"), ~quality.held_out_third())
+    return quality.quality_scores(documents, model, quality.held_out_third())
+
+
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -42,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_secret_scan, op4_jaccard_join, op8_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_secret_scan, op4_jaccard_join, op5_language, op6_quality, op7_vector_dedup, op8_mixing, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
