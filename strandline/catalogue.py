@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import ORACLES, QUERIES, relational, scalar, scans, statements, streams, vectors
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by return flag and line status."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag", "l_linestatus").count()
+    return QUERIES["a1_group_by"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+__all__ = ["flagship", "oracle_sql", "queries", "relational", "scalar", "scans", "statements", "streams", "vectors"]
