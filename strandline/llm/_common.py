@@ -34,6 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str):
+    """A long column as a new expression of equal value.
+
+    An aggregate that is joined on its key shares the exchange of the other side, and then AQE can't split a hot key there. Under a new expression
+    the reduced side gets an exchange of its own, and it can."""
+    return F.col(name).bitwiseXOR(F.lit(0).cast("long"))
+
+
 def drop_written(df: DataFrame) -> None:
     """Remove what :func:`materialise` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_written, materialise
+from ._common import drop_written, fresh, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         sided = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         sided = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = sided.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    least = sided.groupBy("u").agg(F.min("v").alias("m")).select(fresh("u").alias("c"), F.least("u", "m").alias("m"))
     joined = sided.join(least, F.col("u") == F.col("c"))
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

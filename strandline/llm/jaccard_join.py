@@ -12,6 +12,8 @@ Documents are sets of five-word shingles; two link if their Jaccard similarity i
    and a spanning forest of its links, not the pairs.
 4. Groups: the components of the forests.
 
+Joins with tables of classes or keys are merge joins at every size: those tables have no size bound, so they are never broadcast.
+
 A group of m different texts costs (m / block)**2 units, spread over all tasks; copies cost nothing.
 
 Cases: null and empty texts, and texts of blanks, have no shingles; they are copies of each other. Texts under five words have one shingle. Equal rows, also with equal ids, are
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, materialise, mix64, small_batches, texts
+from ._common import U64, fresh, materialise, mix64, small_batches, texts
 from .components import components
 from .shingles import MinHash, shingles
 
@@ -218,13 +220,13 @@ class Joined:
         self.rows = materialise(docs.mapInArrow(_signed_rows, SIGNED))
         self.classes = self.rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2")).alias("one"))
         keyed = self.rows.select("c1", F.explode("bands").alias("key"))
-        keys = keyed.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a <> b").select("key", "a")
-        stars = keyed.join(keys, "key").filter("c1 <> a").select(F.col("c1").alias("u"), F.col("a").alias("v"))
+        keys = keyed.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a <> b").select(fresh("key").alias("key"), "a")
+        stars = keyed.join(keys.hint("merge"), "key").filter("c1 <> a").select(F.col("c1").alias("u"), F.col("a").alias("v"))
         near = materialise(components(stars))
         parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
         members = near.join(parts, "component").join(self.classes.select(F.col("c1").alias("id"), "n", "one"), "id")
         members = materialise(members.select("id", "component", "n", "parts", F.col("one.doc_id").alias("e1"), F.col("one.k2").alias("e2"), F.pmod(F.xxhash64(F.lit(7), "id"), "parts").cast("int").alias("block")))
-        chosen = docs.join(members.select("id", "e1", "e2"), F.col("doc_id").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
+        chosen = docs.join(members.select("id", "e1", "e2").hint("merge"), F.col("doc_id").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
         sets = chosen.select(F.col("id").alias("node"), "text").mapInArrow(_set_rows, "node long, shingles array<long>")
         units = sets.join(members, F.col("node") == F.col("id")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         units = units.select("component", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "node", "n", "block", "shingles")
@@ -254,7 +256,7 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, tolerance: float =
     keep = rows.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(F.min(F.struct("doc_id", "k2")).alias("one"), F.count(F.lit(1)).alias("_n"))
     # groups of null ids alone share the null group: each text of theirs stays once
     nulls = rows.filter("group_id is null").select(F.col("doc_id").alias("_e1"), F.col("k2").alias("_e2"), F.lit(2).cast("long").alias("_n")).distinct()
-    keep = keep.filter("group_id is not null").select(F.col("one.doc_id").alias("_e1"), F.col("one.k2").alias("_e2"), "_n").unionAll(nulls)
+    keep = materialise(keep.filter("group_id is not null").select(F.col("one.doc_id").alias("_e1"), F.col("one.k2").alias("_e2"), "_n").unionAll(nulls)).hint("merge")
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = documents.withColumn("_k2", text).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_e1")) & (F.col("_k2") == F.col("_e2")))
     once = joined.filter("_n = 1").select(documents.columns)
