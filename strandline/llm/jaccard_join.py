@@ -2,7 +2,7 @@
 
 Documents are sets of five-word shingles; two link if their Jaccard similarity is at least ``threshold`` (0.8).
 
-1. Classes: documents with equal shingle sets are copies. They share a class (a 128-bit name of the set) and are never paired.
+1. Copies: documents with equal shingle sets are one class of copies (a 128-bit name of the set) and are never paired.
 2. Candidates: MinHash bands (40 of 6 values; a pair at 0.8 shares none with probability 5e-6). A band's key is reduced with
    partial aggregation to its least and greatest class; keys with both equal are dropped. The others link their classes to the least one, and
    the components of these stars are the candidate groups. Nothing lists the pairs of a key.
@@ -17,7 +17,7 @@ Joins with tables of classes or keys are merge joins at every size: those tables
 A group of m different texts costs (m / block)**2 units, spread over all tasks; copies cost nothing.
 
 Cases: null and empty texts, and texts of blanks, have no shingles; they are copies of each other. Texts under five words have one shingle. Equal rows, also with equal ids, are
-rows of their own and copies. class_id and group_id are the least ids of the class and the group, null if all ids in it are
+rows of their own and copies. class_id is the least id reachable by links, copy_of the least id of the documents with an equal set, null if all ids among them are
 null. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -245,9 +245,10 @@ class Joined:
 
 
 def jaccard_join(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (other documents linked, copies included), group_id, kept (one id per group)."""
+    """One row per document: doc_id, class_id (its near-duplicate group), n_links (other documents linked, copies included), copy_of (documents with an equal
+    shingle set), kept (one id per group)."""
     rows = Joined(documents, threshold, tolerance, block, id_col, text_col).result()
-    return rows.select("doc_id", "class_id", "n_links", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
+    return rows.select("doc_id", F.col("group_id").alias("class_id"), "n_links", F.col("class_id").alias("copy_of"), F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
 def near_dedup(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

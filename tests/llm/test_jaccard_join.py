@@ -65,7 +65,7 @@ def frame(spark, docs):
 def test_brute_force(spark, seed, block):
     docs = corpus(seed)
     got = jaccard_join(frame(spark, docs).repartition(4), block=block).collect()
-    assert sorted(((r.doc_id, r.class_id, r.n_links, r.group_id) for r in got), key=str) == brute(docs)
+    assert sorted(((r.doc_id, r.copy_of, r.n_links, r.class_id) for r in got), key=str) == brute(docs)
 
 
 def test_one_of_each_group_stays(spark):

@@ -40,7 +40,7 @@ def test_stages(spark, tmp_path):
     good = {i for i, q, _ in labels if q}
     assert {r.doc_id for r in outputs[0].collect() if r.doc_id is not None and r.doc_id < 400} == good
     groups = jaccard_join(outputs[0]).collect()
-    assert Counter(r.doc_id for r in outputs[1].collect()) == Counter({g: 1 for g in {r.group_id for r in groups}})
+    assert Counter(r.doc_id for r in outputs[1].collect()) == Counter({g: 1 for g in {r.class_id for r in groups}})
     assert {r.doc_id for r in outputs[2].collect()} == {r.doc_id for r in outputs[1].collect()}
     assert sum(r.n_assign + r.n_access + r.n_hex for r in secret_scan(outputs[2]).collect()) == 0
     mixed = Counter(r.doc_id for r in outputs[3].collect())
