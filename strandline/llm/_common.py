@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +79,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package's source to the executors, once per application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = pathlib.Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 256, size: str = "8m") -> None:
-    """Keep Arrow batches small, so that a Python worker holds few long texts at once. Only ever lowers what is set."""
+    """Ship the package, and keep Arrow batches small, so that a Python worker holds few long texts at once. Only ever lowers what is set."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     have = int(spark.conf.get(key, "10000"))
     if have <= 0 or have > rows:
