@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import ORACLES, QUERIES, relational, scalar, scans, statements, streams, vectors
+from .queries import ORACLES, QUERIES, maintenance, relational, scalar, scans, statements, streams, vectors
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-__all__ = ["flagship", "oracle_sql", "queries", "relational", "scalar", "scans", "statements", "streams", "vectors"]
+__all__ = ["flagship", "maintenance", "oracle_sql", "queries", "relational", "scalar", "scans", "statements", "streams", "vectors"]

@@ -68,6 +68,6 @@ class Transaction:
         if staged is None:
             return None
         keys = ([V.USER] if table.by_user else []) + [table.pk]
-        last = staged.groupBy(*keys).agg(F.max_by("_op", "_order").alias("_last"), F.collect_set("_op").alias("_ops"))
-        gone = staged.join(last.filter("_last = 'delete'").select(*keys), keys, "left_semi").groupBy(*keys).agg(*(F.max_by(c, "_order").alias(c) for c in table.names() if c not in keys))
+        last = staged.groupBy(*keys).agg(F.max_by("_op", "_order").alias("_last"), *(F.max_by(c, "_order").alias(c) for c in table.names() if c not in keys))
+        gone = last.filter("_last = 'delete'").drop("_last")
         return staged, gone
