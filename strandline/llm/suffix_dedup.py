@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, materialise, mix64, small_batches, texts
+from ._common import U64, fresh, materialise, mix64, small_batches, texts
 
 PREFIX = 50
 BLOCK = 16
@@ -238,15 +238,15 @@ def _result_rows(length: int):
 def _ranked(entries: DataFrame) -> DataFrame:
     """Entries whose core occurs again, with whether all of that core share one hull."""
     ranks = entries.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("hull").alias("a"), F.max("hull").alias("b"))
-    return entries.join(ranks.filter("c > 1").select("core", (F.col("a") == F.col("b")).alias("settled")), "core")
+    return entries.join(ranks.filter("c > 1").select(fresh("core").alias("core"), (F.col("a") == F.col("b")).alias("settled")), "core")
 
 
 def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Positions that repeat, and the entries of the next round by document: one for each distinct hull."""
     at = ["k1", "k2", "pos"]
-    mixed = ranked.filter("not settled").drop("settled")
+    mixed = ranked.filter("not settled").drop("settled").withColumn("core", fresh("core"))
     names = mixed.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*at, "own")).alias("one"))
-    again = mixed.filter("own").join(names.filter("c > 1").select("core", "hull"), ["core", "hull"])
+    again = mixed.filter("own").join(names.filter("c > 1").select(fresh("core").alias("core"), fresh("hull").alias("hull")), ["core", "hull"])
     entry = F.struct("one.pos", (F.col("one.own") & (F.col("c") == 1)).alias("own"))
     lone = names.groupBy(F.col("one.k1").alias("e1"), F.col("one.k2").alias("e2")).agg(F.collect_list(entry).alias("entries"))
     return ranked.filter("settled and own").select(*at).unionAll(again.select(*at)), lone
