@@ -10,7 +10,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -30,10 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The files go when the driver's JVM ends, since a result that is not yet computed may still read them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +59,16 @@ def drop_written(df: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hashed_sample(df: DataFrame, n: int, hashed: Column, *ties: str) -> DataFrame:
+    """The ``n`` rows of least hash, as a sample that doesn't depend on the partitioning.
+
+    A count gives a bound on the hash under which about 4 n rows are expected, so the sort that picks n of them stays small however many tasks there are."""
+    count = df.count()
+    part = F.pmod(hashed, F.lit(1 << 40)) / float(1 << 40)
+    few = df if count <= 8 * n else df.filter(part < 4.0 * n / count)
+    return few.orderBy(part, *ties).limit(n)
+
+
 def texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and int64 bounds (n + 1) of a string array; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -258,8 +258,10 @@ def near_dedup(documents: DataFrame, threshold: float = 0.8, tolerance: float =
     # groups of null ids alone share the null group: each text of theirs stays once
     nulls = rows.filter("group_id is null").select(F.col("doc_id").alias("_e1"), F.col("k2").alias("_e2"), F.lit(2).cast("long").alias("_n")).distinct()
     keep = materialise(keep.filter("group_id is not null").select(F.col("one.doc_id").alias("_e1"), F.col("one.k2").alias("_e2"), "_n").unionAll(nulls)).hint("merge")
+    # whole rows travel as one struct, so that no column of theirs can clash with ours
     text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = documents.withColumn("_k2", text).join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_e1")) & (F.col("_k2") == F.col("_e2")))
-    once = joined.filter("_n = 1").select(documents.columns)
-    more = joined.filter("_n > 1").dropDuplicates([id_col, "_k2"]).select(documents.columns)
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_k2"))
+    joined = rows.join(keep, F.col("_id").eqNullSafe(F.col("_e1")) & (F.col("_k2") == F.col("_e2")))
+    once = joined.filter("_n = 1").select("_row.*")
+    more = joined.filter("_n > 1").dropDuplicates(["_id", "_k2"]).select("_row.*")
     return once.unionAll(more)

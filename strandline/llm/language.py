@@ -4,8 +4,8 @@ Windows of ``WINDOW`` (256) bytes go through a byte embedding, filters of widths
 softmax. For prediction the embedding is folded into tables by byte and by pair of bytes, so a filter is a sum of looked-up rows.
 Every window of a text is scored (the last is filled with zeros), and the text's probabilities are the mean over its windows by bytes.
 
-Training takes at most ``per_language`` (1200) documents of each language, those of least hash, one seeded window each, and ``sample_rows`` (24,000) in
-all; everything else runs over all rows.
+Training takes at most ``per_language`` (1000) documents of each language, those of least hash, one seeded window each, of the ``most_languages`` (256) most
+frequent languages, and ``sample_rows`` (24,000) in all; everything else runs over all rows.
 
 Cases: null texts and those without a letter are ``und`` with score 0, and so is every text where nothing could be learned. Null
 languages aren't learned. A null id may be learned from. Equal rows get equal predictions. An empty table gives no rows. Other columns are ignored.
@@ -127,11 +127,14 @@ class ByteConv:
         return out
 
 
-def learn(documents: DataFrame, learnable: Column, per_language: int = 1200, sample_rows: int = 24_000, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> ByteConv | None:
+def learn(documents: DataFrame, learnable: Column, per_language: int = 1000, sample_rows: int = 24_000, most_languages: int = 256, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> ByteConv | None:
     """A network from a bounded sample of documents with a language; None if there is none."""
     key = F.xxhash64(F.lit(21), id_col)
     rows = documents.filter(F.col(lang_col).isNotNull() & F.coalesce(learnable, F.lit(True))).select(F.col(id_col).alias("_i"), F.col(lang_col).cast("string").alias("_l"), key.alias("_h"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_i"))).filter(F.col("_r") <= per_language)
+    # a count per language bounds the hashes to look at, so that ranking them stays small however many rows and tasks there are
+    counts = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(most_languages)
+    few = rows.join(F.broadcast(counts), "_l").filter((F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 4.0 * per_language / F.col("_n")) | (F.col("_n") <= 8 * per_language))
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy(F.pmod("_h", F.lit(1 << 40)), "_i"))).filter(F.col("_r") <= per_language)
     sample = ranked.orderBy("_r", "_h", "_l").limit(sample_rows).select("_i").distinct()
     at = F.pmod(F.xxhash64(F.lit(22), id_col), F.greatest(F.length(text_col) - WINDOW, F.lit(1))).cast("int") + 1
     found = documents.filter(F.col(lang_col).isNotNull()).join(F.broadcast(sample), F.col(id_col).eqNullSafe(F.col("_i"))).select(F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), at, F.lit(WINDOW)).alias("t"))

@@ -118,13 +118,16 @@ def mix_documents(documents: DataFrame, seed: int = 17, block_tokens: int = 32,
     d = d.withColumn("rest", rest).select("k1", "k2", times.alias("times"))
     # equal rows share a key: their times are summed and given to one row of them
     d = materialise(d.groupBy(F.col("k1").alias("_m1"), F.col("k2").alias("_m2")).agg(F.sum("times").cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0"))
+    # whole rows travel as one struct, so that no column of theirs can clash with ours
     text = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    joined = documents.withColumn("_k2", text).join(d.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_m1")) & (F.col("_k2") == F.col("_m2")))
-    alone = joined.filter("_rows = 1").withColumn("_own", F.col("_times"))
+    rows = documents.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_k2"))
+    joined = rows.join(d.hint("merge"), F.col("_id").eqNullSafe(F.col("_m1")) & (F.col("_k2") == F.col("_m2")))
+    alone = joined.filter("_rows = 1").select("_row", F.col("_times").alias("_own"))
     nth = F.row_number().over(Window.partitionBy("_m1", "_m2").orderBy(F.lit(0)))
     equal = joined.filter("_rows > 1").withColumn("_nth", nth)
-    equal = equal.withColumn("_own", (F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)).cast("int")).filter("_own > 0").drop("_nth")
-    return alone.unionAll(equal).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(documents.columns)
+    own = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
+    equal = equal.select("_row", own.cast("int").alias("_own")).filter("_own > 0")
+    return alone.unionAll(equal).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select("_row.*")
 
 
 def oracle_sql(seed: int = 17, block_tokens: int = 32, shard_tokens: int = 1_000_000, max_repeat: int = 3) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, small_batches, texts
+from ._common import crc_mod, hashed_sample, small_batches, texts
 
 FEATURES = ("log_chars", "log_words", "word_length", "distinct_words", "repeated_words", "upper", "symbols", "marks", "digits", "pipes", "line_words", "distinct_lines", "ends")
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -193,7 +193,7 @@ def learn(documents: DataFrame, labels: DataFrame, learnable: Column | None = No
     usable = labels.select(F.col(id_col).cast("long").alias("_l"), F.col(label_col).cast("int").alias("_y")).filter("_l is not null and _y in (0, 1)")
     if learnable is not None:
         usable = usable.withColumnRenamed("_l", id_col).filter(learnable).withColumnRenamed(id_col, "_l")
-    sample = usable.orderBy(F.xxhash64("_l"), "_l", "_y").limit(sample_rows)
+    sample = hashed_sample(usable, sample_rows, F.xxhash64("_l"), "_l", "_y")
     rows = documents.join(F.broadcast(sample), F.col(id_col) == F.col("_l")).select(F.col("_y").cast("double").alias("label"), F.col(text_col).alias("text"))
     found = rows.mapInArrow(_feature_rows, "label double, " + ", ".join(f"{f} double" for f in FEATURES)).limit(2 * sample_rows).toArrow()
     y, x = found.column("label").to_numpy(), np.stack([found.column(f).to_numpy() for f in FEATURES], axis=1)

@@ -108,10 +108,13 @@ def mask_secrets(documents: DataFrame, min_repos: int = 3, min_owners: int = 3,
     found = materialise(find_spans(documents, id_col, text_col, **cols))
     hit = found.filter(F.size("found") > 0).dropDuplicates(["k1", "k2"]).select("k1", "k2", "found")
     hit = _with_examples(hit, judged(found, min_repos, min_owners)).select(F.col("k1").alias("_s1"), F.col("k2").alias("_s2"), F.transform("found", lambda s: F.struct(s["start"], s["end"], F.array_contains("examples", s["value"]).alias("example"))).alias("_spans"))
+    # whole rows travel as one struct, so that no column of theirs can clash with ours
     text = F.coalesce(F.col(text_col), F.lit(""))
     any_match = text.rlike("|".join(f"(?:{k[1]})" if not k[1].startswith("(?i)") else f"(?i:{k[1][4:]})" for k in KINDS))
     clean = documents.filter(~any_match)
-    joined = documents.filter(any_match).join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("_s1")) & (F.xxhash64(text) == F.col("_s2")), "left")
+    rows = documents.filter(any_match).select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_k2"))
+    joined = rows.join(hit, F.col("_id").eqNullSafe(F.col("_s1")) & (F.col("_k2") == F.col("_s2")), "left")
+    value = F.col("_row")[text_col]
     kind = "array<struct<start:bigint,end:bigint,example:boolean>>"
     start = F.struct(F.array().cast(kind).alias("out"))
 
@@ -128,13 +131,14 @@ def mask_secrets(documents: DataFrame, min_repos: int = 3, min_owners: int = 3,
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def put(a, s):
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), mark(s)).alias("out"))
+        return F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(value, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), mark(s)).alias("out"))
 
-    masked = F.aggregate(whole, begin, put, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    changed = joined.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text_col)))
+    masked = F.aggregate(whole, begin, put, lambda a: F.concat(a["out"], F.substring(value, (a["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    row = F.col("_row").withField(text_col, F.when(F.size("_spans") > 0, masked).otherwise(value))
+    changed = joined.select(row.alias("_row"))
     if length_col and length_col in documents.columns:
-        changed = changed.withColumn(length_col, F.length(text_col).cast(documents.schema[length_col].dataType))
-    return clean.unionAll(changed.select(documents.columns))
+        changed = changed.select(F.col("_row").withField(length_col, F.length(F.col("_row")[text_col]).cast(documents.schema[length_col].dataType)).alias("_row"))
+    return clean.unionAll(changed.select("_row.*"))
 
 
 def _duck_kind(order: int, kind: str, pattern: str, group: int, least: int) -> str:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches
+from ._common import hashed_sample, materialise, small_batches
 from .components import components
 from .jaccard_join import FOUND, _forest
 
@@ -264,7 +264,7 @@ def vector_dedup(
     named = rows.withColumn("c1", F.when(F.col("ok"), F.xxhash64("label", "v"))).withColumn("c2", F.when(F.col("ok"), F.xxhash64(F.lit(3), "v", "label")))
     keys = materialise(named.select("vec_id", "c1", "c2"))
     nodes = materialise(named.filter("ok").groupBy("c1", "c2", "label", F.size("v").alias("dim")).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("head")))
-    sample = nodes.select("label", "dim", "v", "c1").orderBy(F.xxhash64(F.lit(9), "c1"), "c1").limit(sample_rows).toArrow()
+    sample = hashed_sample(nodes.select("label", "dim", "v", "c1"), sample_rows, F.xxhash64(F.lit(9), "c1"), "c1").toArrow()
     sizes = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(most_centroids).collect()}
     model, base = {}, 0
     taken: dict = {}

@@ -7,7 +7,7 @@ import pytest
 from strandline.llm.components import components
 from strandline.llm.jaccard_join import intersections, jaccard_join, least_matches, near_dedup
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, c1 string, one string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, c1 string, one string, _row int, _k2 int, _e1 int, _n int, key int"
 
 
 def shingle_set(text):
@@ -58,7 +58,7 @@ def corpus(seed):
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, "en", "s", 1, "x", "y") for i, t in docs], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", 1, 2, 3, 4, 5) for i, t in docs], SCHEMA)
 
 
 @pytest.mark.parametrize("seed,block", [(1, 128), (2, 4)])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.mixing import mix_documents, mixture, sainte_lague
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank string, shard string, size int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank string, shard string, _row int"
 
 
 def corpus(seed=1, n=400):

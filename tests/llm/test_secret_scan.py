@@ -3,7 +3,7 @@ import re
 
 from strandline.llm.secret_scan import KINDS, mask_secrets, secret_scan
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, owner string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _spans string, _row string"
 
 
 def brute_spans(text):
