@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,9 +14,9 @@ def engine(spark) -> Engine:
     """An engine in a folder of its own below the folder that all executors share."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints").rstrip("/")
     root = f"{base}/engine-{uuid.uuid4().hex}"
-    if root.startswith(("/", "file:")):
-        atexit.register(shutil.rmtree, root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-    return Engine(spark, root)
+    out = Engine(spark, root)
+    out.store.delete_on_exit()
+    return out
 
 
 def loaded(spark, d, kind: str = "SHARED"):

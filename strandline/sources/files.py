@@ -77,5 +77,9 @@ class Store:
         to = other or self
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs(), self._path(*source), to._fs(), to._path(*target), False, self._conf)
 
+    def delete_on_exit(self, *parts: str) -> None:
+        """Remove a folder when the driver's JVM ends."""
+        self._fs().deleteOnExit(self._path(*parts))
+
     def size(self, *parts: str) -> int:
         return self._fs().getContentSummary(self._path(*parts)).getLength() if self.exists(*parts) else 0
