@@ -118,7 +118,7 @@ def w10(spark, d):
     s.sql("CREATE SHARED TABLE f (id INT PRIMARY KEY, a FILE)")
     s.sql('INSERT INTO f VALUES (1, FILE("a b.txt"))', files={"a b.txt": b"hello"})
     r = s.sql("SELECT a->>'name' AS name, CAST(a->>'size' AS INT) AS size, a->>'mime' AS mime, a->>'sha256' AS sha, a FROM f").first()
-    return one(spark, name=r["name"], size=r["size"], mime=r["mime"], sha=r["sha"], body=s.file("f", r["a"]).decode())
+    return one(spark, name=r["name"], size=r["size"], mime=r["mime"], sha=r["sha"], body=s.file("f", r["a"]).decode()).withColumn("size", F.col("size").cast("int"))
 
 
 @query("w11_parquet_sink", "SELECT count(*) AS n, true AS zstd FROM orders")

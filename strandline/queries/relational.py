@@ -231,7 +231,7 @@ def a10a(spark, d):
 )
 def n1(spark, d):
     w, s = Window.partitionBy("o_custkey").orderBy("o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderstatus")
-    return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(s).alias("rk"), F.dense_rank().over(s).alias("dr"), F.ntile(3).over(w).alias("nt"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"))
+    return table(spark, d, "orders").select("o_orderkey", F.row_number().over(w).cast("bigint").alias("rn"), F.rank().over(s).cast("bigint").alias("rk"), F.dense_rank().over(s).cast("bigint").alias("dr"), F.ntile(3).over(w).cast("bigint").alias("nt"), F.round(F.percent_rank().over(w), 9).alias("pr"), F.round(F.cume_dist().over(w), 9).alias("cd"))
 
 
 @query(

@@ -106,7 +106,7 @@ def s20(spark, d):
     return spark.sql("SELECT status, n FROM (SELECT o_orderstatus AS status, count(*) AS n FROM {orders} GROUP BY o_orderstatus) t WHERE n > 10", orders=table(spark, d, "orders"))
 
 
-@query("m1_version_order", NOW + "SELECT o_orderkey, c AS commit_seq, s AS seq FROM cur")
+@query("m1_version_order", NOW + "SELECT o_orderkey, CAST(c AS BIGINT) AS commit_seq, s AS seq FROM cur")
 def m1(spark, d):
     return V.resolve(order_log(spark, d), "o_orderkey", include_deleted=True).select("o_orderkey", F.col(V.COMMIT).alias("commit_seq"), F.col(V.SEQ).alias("seq"))
 
@@ -164,4 +164,4 @@ def a12(spark, d):
 @query("n4_version_rank", NOW.replace("cur AS", "ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY c DESC, s DESC) r FROM log), cur AS") + "SELECT r AS version_rank, count(*) AS n FROM ranked GROUP BY r")
 def n4(spark, d):
     newest = Window.partitionBy("o_orderkey").orderBy(F.col(V.COMMIT).desc(), F.col(V.SEQ).desc())
-    return order_log(spark, d).withColumn("version_rank", F.row_number().over(newest)).groupBy("version_rank").agg(F.count(F.lit(1)).alias("n"))
+    return order_log(spark, d).withColumn("version_rank", F.row_number().over(newest).cast("bigint")).groupBy("version_rank").agg(F.count(F.lit(1)).alias("n"))

@@ -41,7 +41,7 @@ def w1(spark, d):
 @query("w2_insert_returning", "SELECT 3 AS n, true AS rising")
 def w2(spark, d):
     s = loaded(spark, d)
-    return s.sql("INSERT INTO orders (id) VALUES (-1), (-2), (-3) RETURNING _seq").agg(F.count_distinct("_seq").alias("n"), (F.min("_seq") > 0).alias("rising"))
+    return s.sql("INSERT INTO orders (id) VALUES (-1), (-2), (-3) RETURNING _seq").agg(F.count_distinct("_seq").cast("int").alias("n"), (F.min("_seq") > 0).alias("rising"))
 
 
 @query("w3_update", "SELECT o_orderkey AS id, o_custkey AS cust, CASE WHEN o_orderkey % 3 = 0 THEN lower(o_orderstatus) || '!' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + o_custkey ELSE o_totalprice END AS price FROM orders")
