@@ -73,12 +73,12 @@ def filtered_changes(feed: DataFrame, where=None, columns: list[str] | None = No
 class Subscription:
     """A snapshot, then :meth:`poll` for what came later. Changes come at least once, in commit order."""
 
-    def __init__(self, current: Callable[[], DataFrame], log: Callable[[], DataFrame], pk: str, names: list[str], columns: list[str], where=None, by_user: bool = False, options: dict | None = None, owner: str = "", query: str = ""):
+    def __init__(self, current: Callable[[], DataFrame], log: Callable[[int | None], DataFrame], last: Callable[[], int], pk: str, names: list[str], columns: list[str], where=None, by_user: bool = False, options: dict | None = None, owner: str = "", query: str = ""):
         self.id, self.owner, self.query, self.active = uuid.uuid4().hex, owner, query, True
-        self._current, self._log, self.pk, self.names, self.columns, self.where, self.by_user = current, log, pk, names, columns, where, by_user
+        self._current, self._log, self._last, self.pk, self.names, self.columns, self.where, self.by_user = current, log, last, pk, names, columns, where, by_user
         self.options = options or {}
         self.until = snapshot_boundary()
-        self._commit = self._log().agg(F.max(V.COMMIT)).first()[0] or 0
+        self._commit = last()
 
     def snapshot(self) -> DataFrame:
         n = self.options.get("last_rows")
@@ -91,12 +91,11 @@ class Subscription:
         return pages(self._current(), self.columns, int(self.options.get("batch_size", DEFAULT_BATCH)), self.where)
 
     def poll(self) -> DataFrame:
-        """The changes since the snapshot or the last poll."""
-        log = self._log()
-        last = log.agg(F.max(V.COMMIT)).first()[0] or 0
+        """The changes since the snapshot or the last poll: the keys come from segments of later commits alone, the old values from those keys' history."""
+        last = self._last()
         keys = ([V.USER] if self.by_user else []) + [self.pk]
-        touched = log.filter((F.col(V.COMMIT) > self._commit) & (F.col(V.COMMIT) <= last)).select(*keys).distinct()
-        history = log.filter(F.col(V.COMMIT) <= last).join(touched, keys, "left_semi")
+        touched = self._log(self._commit).filter((F.col(V.COMMIT) > self._commit) & (F.col(V.COMMIT) <= last)).select(*keys).distinct()
+        history = self._log(None).filter(F.col(V.COMMIT) <= last).join(touched, keys, "left_semi")
         feed = V.changes(history, self.pk, self.names, self.by_user).filter(F.col(V.COMMIT) > self._commit)
         out = filtered_changes(feed, self.where).orderBy(V.COMMIT, V.SEQ)
         self._commit = last
