@@ -477,3 +477,35 @@ def access(spark, d):
     no = refused(lambda: u.sql("SELECT * FROM t"), security.AccessDenied)
     s.sql("ALTER TABLE t SET ACCESS LEVEL public")
     return one(spark, private_refused=no, public_rows=u.sql("SELECT * FROM t").count()).select("private_refused", F.col("public_rows").cast("int").alias("public_rows"))
+
+
+@query("d9_show_manifest", "SELECT 'shop.orders' AS \"table\", count(*) AS rows FROM orders")
+def d9(spark, d):
+    return loaded(spark, d).sql("SHOW MANIFEST").select("table", "rows")
+
+
+@query("d10_kill_job", "SELECT true AS unknown_refused, 'completed' AS status")
+def d10(spark, d):
+    s = loaded(spark, d)
+    s.sql("STORAGE FLUSH TABLE orders")
+    job = s.sql("SELECT job_id FROM system.jobs").first()["job_id"]
+    s.sql(f"KILL JOB '{job}'")
+    no = refused(lambda: s.sql("KILL JOB 'nothing'"), CatalogError)
+    return s.sql("SELECT status FROM system.jobs").withColumn("unknown_refused", F.lit(no))
+
+
+@query("d16_transaction_statements", "SELECT true AS commit_refused, true AS rollback_refused")
+def d16(spark, d):
+    s = engine(spark).session()
+    return one(spark, commit_refused=refused(lambda: s.sql("COMMIT"), TransactionError), rollback_refused=refused(lambda: s.sql("ROLLBACK"), TransactionError))
+
+
+@query("d18_cluster", "SELECT true AS listed, true AS managed")
+def d18(spark, d):
+    s = engine(spark).session()
+    return one(spark, listed=s.sql("CLUSTER LIST").count() >= 1, managed="Spark" in s.sql("CLUSTER SNAPSHOT").first()["message"])
+
+
+@query("p2_select_all_with_versions", "SELECT 'id,cust,status,price,_seq,_deleted' AS columns")
+def p2s(spark, d):
+    return one(spark, columns=",".join(loaded(spark, d).sql("SELECT * FROM orders").columns))

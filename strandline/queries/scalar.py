@@ -159,3 +159,10 @@ def fa(spark, d):
 @query("fa_unnest", "SELECT p_partkey, unnest([p_size, p_size + 1]) AS v FROM part")
 def fau(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(F.array("p_size", F.col("p_size") + 1)).alias("v"))
+
+
+@query("fmap_maps", "SELECT p_partkey, p_size AS size, 'Brand' AS other, 2 AS n FROM part")
+def fmap(spark, d):
+    """Maps occur in expressions only, not as column types."""
+    m = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.split_part("p_brand", F.lit("#"), F.lit(1)))
+    return table(spark, d, "part").select("p_partkey", F.element_at(m, "size").cast("int").alias("size"), F.element_at(m, "brand").alias("other"), F.size(F.map_keys(m)).alias("n"))
