@@ -317,3 +317,27 @@ def test_default_limit(spark, tmp_path):
     s = Engine(spark, f"file://{tmp_path}", Settings(default_limit=2, most_rows=3)).session()
     s.sql("CREATE SHARED TABLE t (id INT PRIMARY KEY); INSERT INTO t VALUES (1),(2),(3),(4),(5)")
     assert s.sql("SELECT id FROM t").count() == 2 and s.sql("SELECT id FROM t LIMIT 100").count() == 3
+
+
+def test_concurrent_writers(engine, root):
+    """Two writers on one manifest: the later one publishes on top of the first; a key that came between is still refused."""
+    employees(root)
+    table = engine.catalog.table("app.emp")
+    log, other = engine.log(table), engine.session("x", "system", "app")
+    seen = []
+
+    def meanwhile(segment):
+        if not seen:
+            seen.append(1)
+            other.sql("INSERT INTO emp VALUES (50,'Mid','x',1)")
+
+    from strandline.operators import dml
+
+    rows = root.spark.createDataFrame([(60, "Late", "x", 1)], "id int, name string, dept string, salary int")
+    commit = engine.next_commit()
+    assert log.append(dml.versioned(rows, table, commit, None), commit, meanwhile) == 1
+    assert rows.count() == 1 and root.sql("SELECT id FROM emp WHERE id >= 50").count() == 2
+    before = len(engine.store.names("app", "emp", "hot"))
+    with pytest.raises(ConstraintError):
+        root.sql("INSERT INTO emp VALUES (60,'Dup','x',1)")
+    assert len(engine.store.names("app", "emp", "hot")) == before
