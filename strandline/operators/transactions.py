@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import TableDef
+from ..sources.files import Store
 from . import versions as V
 
 
@@ -16,16 +17,16 @@ class TransactionError(RuntimeError):
 
 
 class Transaction:
-    """Mutations in order, by table. Nothing is written before the commit."""
+    """Mutations in order, by table, in files of their own that no table lists. Tables see nothing before the commit."""
 
-    def __init__(self, owner: str, snapshot: int, most_bytes: int = 64 * 1024 * 1024):
-        self.id, self.owner, self.snapshot, self.most_bytes = uuid.uuid4().hex, owner, snapshot, most_bytes
+    def __init__(self, store: Store, owner: str, snapshot: int, most_bytes: int = 1024**3):
+        self.store, self.id, self.owner, self.snapshot, self.most_bytes = store, uuid.uuid4().hex, owner, snapshot, most_bytes
         self.staged: dict[str, list[DataFrame]] = {}
-        self.order, self.rows = 0, 0
+        self.order, self.bytes = 0, 0
         self.open = True
 
     def stage(self, table: TableDef, rows: DataFrame, op: str, assigned: list[str], user: str | None) -> int:
-        """Keep the rows of one statement, as they are now."""
+        """Keep the rows of one statement, as they are now; returns how many."""
         if not self.open:
             raise TransactionError("the transaction is over")
         if table.kind not in ("USER", "SHARED"):
@@ -34,13 +35,19 @@ class Transaction:
         kept = rows.withColumn("_op", F.lit(op)).withColumn("_order", F.lit(self.order)).withColumn("_set", F.array(*(F.lit(a) for a in assigned)).cast("array<string>"))
         if table.by_user and V.USER not in rows.columns:
             kept = kept.withColumn(V.USER, F.lit(user))
-        local = kept.toArrow()
-        self.rows += local.nbytes
-        if self.rows > self.most_bytes:
+        place = ["_transactions", self.id, str(self.order)]
+        kept.write.parquet(self.store.uri(*place))
+        self.bytes += self.store.size(*place)
+        if self.bytes > self.most_bytes:
             self.open = False
             raise TransactionError(f"the transaction holds more than {self.most_bytes} bytes and was aborted")
-        self.staged.setdefault(table.full_name, []).append(rows.sparkSession.createDataFrame(local, kept.schema))
-        return local.num_rows
+        written = rows.sparkSession.read.schema(kept.schema).parquet(self.store.uri(*place))
+        self.staged.setdefault(table.full_name, []).append(written)
+        return written.count()
+
+    def discard(self) -> None:
+        """Remove the staged files."""
+        self.store.delete("_transactions", self.id)
 
     def mutations(self, name: str) -> DataFrame | None:
         out = None

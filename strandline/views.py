@@ -77,7 +77,7 @@ def _sessions(s):
 
 
 def _transactions(s):
-    return [(t.id, t.owner, t.snapshot, t.order, t.rows) for t in s.engine.transactions.values()], "transaction_id string, owner string, snapshot long, statements int, bytes long"
+    return [(t.id, t.owner, t.snapshot, t.order, t.bytes) for t in s.engine.transactions.values()], "transaction_id string, owner string, snapshot long, statements int, bytes long"
 
 
 def _settings(s):

@@ -341,3 +341,12 @@ def test_concurrent_writers(engine, root):
     with pytest.raises(ConstraintError):
         root.sql("INSERT INTO emp VALUES (60,'Dup','x',1)")
     assert len(engine.store.names("app", "emp", "hot")) == before
+
+
+def test_transaction_publishes_by_operation(engine, root):
+    employees(root)
+    root.sql("CREATE TOPIC app.t; ALTER TOPIC app.t ADD SOURCE app.emp ON INSERT; ALTER TOPIC app.t ADD SOURCE app.emp ON UPDATE; ALTER TOPIC app.t ADD SOURCE app.emp ON DELETE")
+    root.sql("CREATE SHARED TABLE two (id INT PRIMARY KEY); BEGIN; INSERT INTO emp VALUES (10,'n','x',1); UPDATE emp SET salary = 1 WHERE id = 1; DELETE FROM emp WHERE id = 2; INSERT INTO two VALUES (1); INSERT INTO emp VALUES (11,'n','x',1); DELETE FROM emp WHERE id = 11; COMMIT")
+    assert sorted((r.op, r.key) for r in root.sql("CONSUME FROM app.t").collect()) == [("delete", "2"), ("insert", "10"), ("update", "1")]
+    assert rows(root.sql("SELECT id FROM two")) == [(1,)] and not engine.store.exists("_transactions", "x")
+    assert engine.store.names("_transactions") == []
