@@ -255,6 +255,20 @@ def valid(vector: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & v.isNotNull() & finite & F.exists(v, lambda e: e != 0), F.lit(False))
 
 
+def _by_label(sample: pa.Table) -> dict:
+    """Matrices of the sampled vectors by (label, length), in the order of their names; no vector becomes Python objects."""
+    if not sample.num_rows:
+        return {}
+    order = np.argsort(sample.column("c1").to_numpy(), kind="stable")
+    labels, dims = np.array(sample.column("label").to_pylist(), object)[order], sample.column("dim").to_numpy()[order]
+    lists = sample.column("v").combine_chunks()
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1][order]
+    keys, groups = list(zip(labels, dims.tolist())), {}
+    for i, key in enumerate(keys):
+        groups.setdefault(key, []).append(at[i])
+    return {key: flat[np.array(starts)[:, None] + np.arange(key[1])] for key, starts in sorted(groups.items())}
+
+
 def vector_dedup(
     embeddings: DataFrame, threshold: float = 0.93, overlap: int = 3, shard_nodes: int = 1200, block: int = 1024, sample_rows: int = 50_000, most_centroids: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -267,10 +281,7 @@ def vector_dedup(
     sample = hashed_sample(nodes.select("label", "dim", "v", "c1"), sample_rows, F.xxhash64(F.lit(9), "c1"), "c1").toArrow()
     sizes = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(most_centroids).collect()}
     model, base = {}, 0
-    taken: dict = {}
-    for label, dim, v in sorted(zip(sample.column("label").to_pylist(), sample.column("dim").to_pylist(), sample.column("v").to_pylist())):
-        taken.setdefault((label, dim), []).append(v)
-    for key, vectors in taken.items():
+    for key, vectors in _by_label(sample).items():
         if key in sizes:
             k = max(1, min(-(-overlap * sizes[key] // shard_nodes), len(vectors) // 8 + 1, most_centroids - base))
             if k > 0 and base < most_centroids:
