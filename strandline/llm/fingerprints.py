@@ -6,7 +6,7 @@ share of equal values, corrected for the chance agreement of 16-bit values. Equa
 :func:`similar_pairs` joins signature bands in Spark and verifies the pairs by exact Jaccard, through the join of ``jaccard_join``.
 
 :func:`edited_fingerprints` also fingerprints each document's edited text, whose last half comes from the next document by id. The
-next document is found without a global window: ids are cut into ranges at approximate quantiles (at most ``most_ranges``), each range is sorted
+next document is found without a global window: ids are cut into ranges at approximate quantiles (at most ``most_ranges``), each range is a partition, sorted
 by itself, and the first document of each range, found by its id, is added to the range before as a helper. Texts are shuffled once.
 
 Cases: null counts as empty; a text without words has the fingerprint of all bits set. Ids that are equal follow each other in the order of
@@ -105,7 +105,7 @@ def _edited_rows(n: int):
     return rows
 
 
-def edited_fingerprints(documents: DataFrame, n: int = 128, rows_in_range: int = 4000, most_ranges: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(documents: DataFrame, n: int = 128, rows_in_range: int = 2000, most_ranges: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, see RESULT and the module's text."""
     spark = documents.sparkSession
     small_batches(spark)
@@ -127,5 +127,5 @@ def edited_fingerprints(documents: DataFrame, n: int = 128, rows_in_range: int =
     order = F.struct(F.xxhash64("text"), "text")
     helpers = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part", "doc_id").agg(F.min_by("text", order).alias("text"))
     both = docs.select(range_of("doc_id").alias("part"), "doc_id", "text", F.lit(False).alias("helper")).unionAll(helpers.select("part", "doc_id", "text", F.lit(True)))
-    sorted_rows = both.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "helper", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    sorted_rows = both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "helper", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
     return sorted_rows.mapInArrow(_edited_rows(n), RESULT)
