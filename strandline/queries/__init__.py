@@ -32,10 +32,6 @@ def spark_sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFr
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
 
 
-def money(c) -> Column:
-    """A price as a decimal, so that sums don't depend on their order."""
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(14,2)")
-
-
-def total(c: Column) -> Column:
-    return F.sum(c).cast("double")
+def total(c) -> Column:
+    """A sum of amounts with two decimals. Rounding takes away what the order of additions leaves, since a true sum never lies near a tie."""
+    return F.round(F.sum(c), 2)

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import money, query, spark_sql, table, total
+from . import query, spark_sql, table, total
 
-D = "CAST({} AS DECIMAL(14,2))"
-PRICE, QTY = D.format("l_extendedprice"), D.format("l_quantity")
 
 
 # projection and filter
 
 
-@query("p1_expressions", f"SELECT l_orderkey, l_linenumber, CAST({PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DOUBLE) AS net, l_partkey + l_suppkey AS both_keys FROM lineitem")
+@query("p1_expressions", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, l_partkey + l_suppkey AS both_keys FROM lineitem")
 def p1(spark, d):
-    net = (money("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
+    net = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", net.alias("net"), (F.col("l_partkey") + F.col("l_suppkey")).alias("both_keys"))
 
 
@@ -135,30 +133,30 @@ def j8(spark, d):
     return table(spark, d, "customer").join(t, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "n")
 
 
-@query("j1_multi_table_join", f"SELECT c_mktsegment AS tier, count(*) AS n, CAST(sum({D.format('o_totalprice')}) AS DOUBLE) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+@query("j1_multi_table_join", "SELECT c_mktsegment AS tier, count(*) AS n, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 def j1m(spark, d):
     j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.groupBy(F.col("c_mktsegment").alias("tier")).agg(F.count(F.lit(1)).alias("n"), total(money("o_totalprice")).alias("amount"))
+    return j.groupBy(F.col("c_mktsegment").alias("tier")).agg(F.count(F.lit(1)).alias("n"), total("o_totalprice").alias("amount"))
 
 
 # aggregates
 
 
-@query("a1_group_by", f"SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum({QTY}) AS DOUBLE) AS sum_qty, CAST(sum({PRICE}) AS DOUBLE) AS sum_price, CAST(sum({QTY}) AS DOUBLE) / count(*) AS avg_qty FROM lineitem GROUP BY ALL")
+@query("a1_group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, round(sum(l_quantity), 2) / count(*) AS avg_qty FROM lineitem GROUP BY ALL")
 def a1(spark, d):
     g = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus")
-    return g.agg(F.count(F.lit(1)).alias("n"), total(money("l_quantity")).alias("sum_qty"), total(money("l_extendedprice")).alias("sum_price"), (total(money("l_quantity")) / F.count(F.lit(1))).alias("avg_qty"))
+    return g.agg(F.count(F.lit(1)).alias("n"), total("l_quantity").alias("sum_qty"), total("l_extendedprice").alias("sum_price"), (total("l_quantity") / F.count(F.lit(1))).alias("avg_qty"))
 
 
-@query("a2_multi_key_top", f"SELECT l_suppkey, l_returnflag, CAST(sum({QTY} * {PRICE}) AS DOUBLE) AS revenue FROM lineitem GROUP BY l_suppkey, l_returnflag ORDER BY revenue DESC, l_suppkey LIMIT 10")
+@query("a2_multi_key_top", "SELECT l_suppkey, l_returnflag, round(sum(l_quantity * l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_suppkey, l_returnflag ORDER BY revenue DESC, l_suppkey LIMIT 10")
 def a2(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(total(money("l_quantity") * money("l_extendedprice")).alias("revenue"))
+    g = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(total(F.col("l_quantity") * F.col("l_extendedprice")).alias("revenue"))
     return g.orderBy(F.desc("revenue"), "l_suppkey").limit(10)
 
 
-@query("a3_filtered", f"SELECT CAST(sum({PRICE}) AS DOUBLE) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_discount > 0.05")
+@query("a3_filtered", "SELECT round(sum(l_extendedprice), 2) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem WHERE l_discount > 0.05")
 def a3(spark, d):
-    return table(spark, d, "lineitem").filter("l_discount > 0.05").agg(total(money("l_extendedprice")).alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
+    return table(spark, d, "lineitem").filter("l_discount > 0.05").agg(total("l_extendedprice").alias("s"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"))
 
 
 @query("a4_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
@@ -166,9 +164,9 @@ def a4(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 15")
 
 
-@query("a5_global", f"SELECT count(*) AS n, CAST(sum({PRICE}) AS DOUBLE) AS s FROM lineitem")
+@query("a5_global", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem")
 def a5(spark, d):
-    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), total(money("l_extendedprice")).alias("s"))
+    return table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), total("l_extendedprice").alias("s"))
 
 
 @query("a6_count_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag")
@@ -244,17 +242,14 @@ def n2(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.lag("o_totalprice").over(w).alias("before"), F.lead("o_totalprice", 2, -1.0).over(w).alias("after"), F.first("o_orderkey").over(w).alias("first"), F.last("o_orderkey").over(whole).alias("last"), F.nth_value("o_orderkey", 2).over(whole).alias("second"))
 
 
-TP = D.format("o_totalprice")
-
-
 @query(
     "n3_frames",
-    f"SELECT o_orderkey, CAST(sum({TP}) OVER w AS DOUBLE) AS running, CAST(sum({TP}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS running, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near, min(o_totalprice) OVER w AS lo, max(o_totalprice) OVER w AS hi FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
 )
 def n3(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "orders").select("o_orderkey", F.sum(money("o_totalprice")).over(run).cast("double").alias("running"), F.sum(money("o_totalprice")).over(w.rowsBetween(-2, 0)).cast("double").alias("moving"), F.count(F.lit(1)).over(w.rangeBetween(-1000, 1000)).alias("near"), F.min("o_totalprice").over(run).alias("lo"), F.max("o_totalprice").over(run).alias("hi"))
+    return table(spark, d, "orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(run), 2).alias("running"), F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 0)), 2).alias("moving"), F.count(F.lit(1)).over(w.rangeBetween(-1000, 1000)).alias("near"), F.min("o_totalprice").over(run).alias("lo"), F.max("o_totalprice").over(run).alias("hi"))
 
 
 # order and limit
@@ -330,7 +325,7 @@ def u6(spark, d):
 # the shapes of the published benchmark, on tables of the same size
 
 
-@query("bench_flushed_filter", f"SELECT l_shipmode AS category, n, s FROM (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS l_shipmode, count(*) AS n, CAST(sum({PRICE}) AS DOUBLE) AS s FROM lineitem GROUP BY 1) t")
+@query("bench_flushed_filter", "SELECT l_shipmode AS category, n, s FROM (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS l_shipmode, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY 1) t")
 def bench_flushed(spark, d):
     g = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).cast("string").alias("category"))
-    return g.agg(F.count(F.lit(1)).alias("n"), total(money("l_extendedprice")).alias("s"))
+    return g.agg(F.count(F.lit(1)).alias("n"), total("l_extendedprice").alias("s"))
