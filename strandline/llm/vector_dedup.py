@@ -7,9 +7,10 @@ Vectors link if their labels are equal and their cosine, in double precision, is
    Every node joins the shards of its ``overlap`` (3) nearest centroids of its label; a label that the sample lacks is one shard.
    A shard of many nodes is dealt to blocks, and every pair of blocks is a unit of its own, so no task holds more than two blocks.
 3. Build: in each unit the nearest candidates of a node are pruned robustly (a neighbour goes if a closer one is ``alpha`` times nearer to
-   it than the node is), to ``degree`` out-edges.
+   it than the node is), to ``degree`` out-edges. Edges hold both ways, and a maximum spanning tree of the unit is added, so whatever is linked in a unit
+   is joined in its graph by edges that are links themselves, however large the groups are.
 4. Union: the adjacency lists that a node got in its shards are united.
-5. Search: in each unit, every node is searched for from the unit's medoids by a greedy beam; from what the beam found, the search
+5. Search: in each unit, every node is searched for from itself and the unit's medoids by a greedy beam; from what the beam found, the search
    expands through every neighbour within ``slack`` of the threshold until nothing new is in range.
 6. Verify: pairs are kept by their exact cosine. A pair that shares several shards counts in the first of them, so links are counted without listing them. A unit
    returns link weights and a spanning forest; components of the forests are the groups.
@@ -54,16 +55,31 @@ def centroids(x: np.ndarray, k: int, seed: int = 1, rounds: int = 8) -> np.ndarr
     return c
 
 
-def robust_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """(n, degree) neighbours of unit rows, -1 where fewer are left after pruning."""
+def spanning_tree(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n - 1 edges of a maximum spanning tree of a matrix of cosines (Prim)."""
+    n = len(near)
+    best, via, left = near[0].copy(), np.zeros(n, np.int64), np.ones(n, bool)
+    left[0], best[0] = False, -4
+    to = np.zeros(n - 1, np.int64)
+    for k in range(n - 1):
+        to[k] = node = best.argmax()
+        left[node], best[node] = False, -4
+        closer = left & (near[node] > best)
+        best[closer], via[closer] = near[node][closer], node
+    return via[to], to
+
+
+def robust_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
+    """Neighbours of unit rows: what pruning leaves of the nearest, at most ``degree`` out-edges, and a spanning tree, all in both directions."""
     n = len(x)
-    out = np.full((n, degree), -1, np.int64)
     if n < 2:
-        return out
+        return [np.zeros(0, np.int64)] * n
+    out = np.full((n, degree), -1, np.int64)
     y = x.astype(np.float32)
     near = y @ y.T
     m = min(CANDIDATES, n - 1)
     np.fill_diagonal(near, -2)
+    u, v = spanning_tree(near)
     dist = np.sqrt(np.maximum(2 - 2 * near, 0))
     for s in range(0, n, 256):
         rows = np.arange(s, min(s + 256, n))
@@ -81,7 +97,10 @@ def robust_graph(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> n
             out[rows[some], r] = pick[some]
             alive[np.arange(len(rows)), first] = False
             alive &= ~((alpha * dist[pick[:, None], cand] <= own) & some[:, None])
-    return out
+    i, k = np.nonzero(out >= 0)
+    u, v = np.concatenate((u, i)), np.concatenate((v, out[i, k]))
+    code = np.unique(np.concatenate((u * n + v, v * n + u)))
+    return np.split(code % n, np.searchsorted(code // n, np.arange(1, n)))
 
 
 def medoids(x: np.ndarray, k: int = 8) -> np.ndarray:
@@ -95,7 +114,7 @@ def medoids(x: np.ndarray, k: int = 8) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (position among the queries, node) visited within ``threshold``, by greedy search and range expansion."""
+    """Pairs (position among the queries, node) visited within ``threshold``, by greedy search from the query's own node and the medoids, and range expansion."""
     n, y = len(x), x.astype(np.float32)
     size = np.array([len(a) for a in adjacency], np.int64)
     flat = np.concatenate(adjacency) if len(adjacency) else np.zeros(0, np.int64)
@@ -104,6 +123,7 @@ def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray
     seen, done = np.full((q, n), -2.0, np.float32), np.zeros((q, n), bool)
     start = medoids(x)
     seen[:, start] = y[queries] @ y[start].T
+    seen[np.arange(q), queries] = 1
 
     def expand(i, node):
         done[i, node] = True
@@ -189,7 +209,7 @@ def _build_rows(batches):
     for _, rows in _units(batches, len(UNIT_KEYS)):
         nodes = np.array([r[5] for r in rows], np.int64)
         graph = robust_graph(unit_rows([r[8] for r in rows]))
-        lists = [nodes[g[g >= 0]] for g in graph]
+        lists = [nodes[g] for g in graph]
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(lists, pa.list_(pa.int64()))], ["id", "near"])
 
 

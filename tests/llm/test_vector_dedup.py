@@ -83,3 +83,29 @@ def test_null_ids_and_empty_table(spark):
     assert got == {(None, 1, 5, False), (5, 1, 5, True), (None, 0, None, True)}
     assert vector_dedup(df.limit(0)).collect() == []
     random.seed(0)
+
+
+def grouped(seed, sizes, dim=16, cosine=0.96):
+    """Vectors in groups of about this cosine, far from each other, in random order."""
+    rng, out = np.random.default_rng(seed), []
+    for n in sizes:
+        base = rng.normal(size=dim)
+        base /= np.linalg.norm(base)
+        e = rng.normal(size=(n, dim))
+        e -= (e @ base)[:, None] * base
+        out.append(cosine**0.5 * base + (1 - cosine) ** 0.5 * e / np.linalg.norm(e, axis=1, keepdims=True))
+    out = np.concatenate(out)
+    return out[rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("sizes", [[100] * 12, [70] * 17, [300] * 4 + [70, 90, 150, 200]])
+def test_labels_of_large_groups_only(spark, sizes):
+    x = grouped(3, sizes).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "s", "i") for i, v in enumerate(x)], SCHEMA).repartition(3)
+    got = {r.vec_id: r for r in vector_dedup(df).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = y @ y.T >= 0.93
+    assert sum(got[i].n_links for i in got) >= 0.999 * (near.sum() - len(x))
+    assert all(got[i].component_id == got[j].component_id for i, j in zip(*np.nonzero(near)))
+    assert len({r.component_id for r in got.values()}) == len(sizes)
