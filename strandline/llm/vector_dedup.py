@@ -3,9 +3,11 @@
 Vectors link if their labels are equal and their cosine, in double precision, is at least ``threshold`` (0.93).
 
 1. Classes: equal vectors of a label are one node with a weight; copies link to each other without being searched.
-2. Shards: centroids of each label come from a bounded sample (``sample_rows``, 50,000, those of least hash; at most ``most_centroids``, 4096).
+2. Shards: centroids of each label come from a bounded sample (``sample_rows``, 50,000, those of least hash; at most ``most_centroids``, 4096,
+   shared over the labels by size).
    Every node joins the shards of its ``overlap`` (3) nearest centroids of its label; a label that the sample lacks is one shard.
    A shard of many nodes is dealt to blocks, and every pair of blocks is a unit of its own, so no task holds more than two blocks.
+   A pair of blocks more than one apart is not in the united lists; the search builds its graph where it needs it.
 3. Build: in each unit the nearest candidates of a node are pruned robustly (a neighbour goes if a closer one is ``alpha`` times nearer to
    it than the node is), to ``degree`` out-edges. Edges hold both ways, and a maximum spanning tree of the unit is added, so whatever is linked in a unit
    is joined in its graph by edges that are links themselves, however large the groups are.
@@ -160,6 +162,13 @@ def range_search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray
     return np.nonzero(seen >= threshold - 1e-4)
 
 
+def shared_budget(wanted: dict, most: int) -> dict:
+    """What each key gets of ``most``: all it wants if that fits, else one and a part of the rest by what it wants more. There are at most ``most`` keys."""
+    more = sum(wanted.values()) - len(wanted)
+    rest = most - len(wanted)
+    return dict(wanted) if more <= rest else {key: 1 + (k - 1) * rest // more for key, k in wanted.items()}
+
+
 def _assigned(model: dict, overlap: int):
     """(id, shards): the nearest centroids of the label; a label without centroids is shard -1 - hash by itself."""
 
@@ -224,6 +233,8 @@ def _found_pairs(key, rows, threshold: float):
         to = np.array(r[10] if r[10] is not None else [], np.int64)
         where = np.minimum(np.searchsorted(ranked, to), len(nodes) - 1)
         adjacency.append(order[where[ranked[where] == to]])
+    if key[4] - key[3] > 1:  # no graph was built over both blocks
+        adjacency = [np.union1d(a, g) for a, g in zip(adjacency, robust_graph(x))]
     pairs = []
     for s in range(0, len(nodes), 256):
         i, j = range_search(x, adjacency, np.arange(s, min(s + 256, len(nodes))), threshold)
@@ -300,13 +311,12 @@ def vector_dedup(
     nodes = materialise(named.filter("ok").groupBy("c1", "c2", "label", F.size("v").alias("dim")).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("head")))
     sample = hashed_sample(nodes.select("label", "dim", "v", "c1"), sample_rows, F.xxhash64(F.lit(9), "c1"), "c1").toArrow()
     sizes = {(r["label"], r["dim"]): r["n"] for r in nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(most_centroids).collect()}
+    sampled = {key: vectors for key, vectors in _by_label(sample).items() if key in sizes}
+    wanted = {key: max(1, min(-(-overlap * sizes[key] // shard_nodes), len(vectors) // 8 + 1)) for key, vectors in sampled.items()}
     model, base = {}, 0
-    for key, vectors in _by_label(sample).items():
-        if key in sizes:
-            k = max(1, min(-(-overlap * sizes[key] // shard_nodes), len(vectors) // 8 + 1, most_centroids - base))
-            if k > 0 and base < most_centroids:
-                model[key] = (base, centroids(unit_rows(vectors), k))
-                base += len(model[key][1])
+    for key, k in shared_budget(wanted, most_centroids).items():
+        model[key] = (base, centroids(unit_rows(sampled[key]), k))
+        base += len(model[key][1])
     shards = nodes.select("c1", "label", "v").mapInArrow(_assigned(model, overlap), "id long, shards array<int>")
     placed = nodes.join(shards, F.col("c1") == F.col("id")).select("id", "label", "dim", "v", "n", "shards", F.explode("shards").alias("shard"))
     parts = placed.groupBy("label", "dim", "shard").agg(F.greatest(F.when(F.count(F.lit(1)) > 2 * block, F.ceil(F.count(F.lit(1)) / block)), F.lit(1)).cast("int").alias("parts"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from strandline.llm import vector_dedup as module
 from strandline.llm.vector_dedup import audit_recall, medoids, range_search, robust_graph, vector_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n long, shard string, id string"
@@ -109,3 +110,27 @@ def test_labels_of_large_groups_only(spark, sizes):
     assert sum(got[i].n_links for i in got) >= 0.999 * (near.sum() - len(x))
     assert all(got[i].component_id == got[j].component_id for i, j in zip(*np.nonzero(near)))
     assert len({r.component_id for r in got.values()}) == len(sizes)
+
+
+def test_centroids_are_shared_over_labels(spark, monkeypatch):
+    seen, real = {}, module._assigned
+    monkeypatch.setattr(module, "_assigned", lambda model, overlap: seen.update(model) or real(model, overlap))
+    x = np.random.default_rng(4).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist(), i % 4, 1, "s", "i") for i, v in enumerate(x)], SCHEMA)
+    vector_dedup(df, shard_nodes=30, most_centroids=12)
+    assert [len(seen[str(label), 8][1]) for label in range(4)] == [3, 3, 3, 3]
+    assert len({base for base, _ in seen.values()}) == 4
+
+
+def test_blocks_far_apart_are_searched_as_one_graph():
+    x = grouped(6, [140] * 14)
+    block = np.arange(len(x)) % 2 * 2
+    near = [None] * len(x)
+    for b in (0, 2):
+        own = np.flatnonzero(block == b)
+        for i, g in zip(own, robust_graph(x[own])):
+            near[i] = own[np.asarray(g)[np.asarray(g) >= 0]]
+    rows = [("a", 16, 0, 0, 2, i, 1, block[i], x[i].tolist(), [0], near[i]) for i in range(len(x))]
+    i, j, _, _ = module._found_pairs(rows[0][:5], rows, 0.93)
+    want = np.triu((x @ x.T >= 0.93) & (block[:, None] != block), 1)
+    assert len(i) >= 0.999 * want.sum() and want[i, j].all()
