@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language, mixing, quality, secret_scan
-from ._common import table
+from ._common import materialise, table
 from .fingerprints import edited_fingerprints
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts
-from .vector_dedup import vector_dedup
+from .vector_dedup import audit_recall, vector_dedup
+
+log = logging.getLogger(__name__)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    embeddings = table(spark, sf_dir, "embeddings")
+    out = materialise(vector_dedup(embeddings, threshold=0.93))
+    recall = audit_recall(embeddings, out, threshold=0.93)
+    log.log(logging.WARNING if recall < 0.99 else logging.INFO, "op7_vector_dedup: audited recall %.4f", recall)
+    return out
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from strandline.llm import queries
 from strandline.llm import vector_dedup as module
 from strandline.llm.vector_dedup import audit_recall, medoids, range_search, robust_graph, vector_dedup
 
@@ -134,3 +135,15 @@ def test_blocks_far_apart_are_searched_as_one_graph():
     i, j, _, _ = module._found_pairs(rows[0][:5], rows, 0.93)
     want = np.triu((x @ x.T >= 0.93) & (block[:, None] != block), 1)
     assert len(i) >= 0.999 * want.sum() and want[i, j].all()
+
+
+def test_audit_asks_all_queries_and_the_query_logs_it(spark, monkeypatch, tmp_path, caplog):
+    x = grouped(8, [40, 60])
+    df = spark.createDataFrame([(i, v.tolist(), 1, 1, "s", "i") for i, v in enumerate(x)], SCHEMA)
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    lossy = spark.createDataFrame([(i, int(n) if i % 2 else 0) for i, n in enumerate(want)], "vec_id long, n_links long")
+    assert audit_recall(df, lossy, every=1, most_queries=7) == pytest.approx(want[1::2].sum() / want.sum())
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(queries, "vector_dedup", lambda embeddings, threshold: lossy)
+    queries.op7_vector_dedup(spark, str(tmp_path))
+    assert any("audited recall 0.0000" in r.getMessage() and r.levelname == "WARNING" for r in caplog.records)
