@@ -123,7 +123,7 @@ def step_groups(windows, step_tokens: int) -> list[int]:
     return out
 
 
-def _rows(path: str, tiers, buffer_tokens: int, step_tokens: int):
+def _rows(path: str, tiers, buffer_tokens: int, step_tokens: int, added: bool):
     def rows(batches):
         ctx = TaskContext.get()
         base = (ctx.partitionId() if ctx else 0) << 40
@@ -154,7 +154,7 @@ def _rows(path: str, tiers, buffer_tokens: int, step_tokens: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], k) for c, k in zip(cols, kinds)], names_)
 
         for batch in batches:
-            encode = encoder(path).ids
+            encode = encoder(path, added).ids
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
                 own = np.append(encode(text), END_ID).astype("<u4")
@@ -170,11 +170,11 @@ def _rows(path: str, tiers, buffer_tokens: int, step_tokens: int):
     return rows
 
 
-def pack_documents(documents: DataFrame, tiers=TIERS, vocabulary: str | None = None, buffer_tokens: int = 4_000_000, step_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; sequences of one tier's size, or of a smaller power of two at a task's end."""
+def pack_documents(documents: DataFrame, tiers=TIERS, vocabulary: str | None = None, buffer_tokens: int = 4_000_000, step_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """One row per piece; sequences of one tier's size, or of a smaller power of two at a task's end. ``added_tokens``: texts are split at the vocabulary's added tokens."""
     tiers = tuple(sorted(tiers))
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers must be powers of two")
     small_batches(documents.sparkSession)
     path = vocabulary or vocab_path()
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows(path, tiers, buffer_tokens, step_tokens), RESULT)
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_rows(path, tiers, buffer_tokens, step_tokens, added_tokens), RESULT)

@@ -72,13 +72,13 @@ def _pieces(given, n_chars: int):
     return np.array(bounds), np.array(owner, np.int64)
 
 
-def _rows(path: str, rule: str, sections: bool):
+def _rows(path: str, rule: str, sections: bool, added: bool):
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def rows(batches):
         for batch in batches:
-            code = encoder(path)
+            code = encoder(path, added)
             data, bounds = texts(batch.column(1))
             given_all = batch.column(2).to_pylist() if sections else None
             cols, held = [[] for _ in names], 0
@@ -121,12 +121,12 @@ def _rows(path: str, rule: str, sections: bool):
     return rows
 
 
-def token_counts(documents: DataFrame, sections_col: str | None = None, rule: str = "majority", vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and section: its bounds in code points, tokens, tokens that cross a bound, and the document's tokens."""
+def token_counts(documents: DataFrame, sections_col: str | None = None, rule: str = "majority", vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+    """One row per document and section: its bounds in code points, tokens, tokens that cross a bound, and the document's tokens. ``added_tokens``: as in ``packing``."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     small_batches(documents.sparkSession)
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
     if sections_col:
         cols.append(F.col(sections_col).alias("sections"))
-    return documents.select(*cols).mapInArrow(_rows(vocabulary or vocab_path(), rule, bool(sections_col)), RESULT)
+    return documents.select(*cols).mapInArrow(_rows(vocabulary or vocab_path(), rule, bool(sections_col), added_tokens), RESULT)

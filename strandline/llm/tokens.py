@@ -1,7 +1,7 @@
 """Byte-level BPE ids from a public vocabulary file, in Python workers.
 
-The ids are those of ``tokenizers`` with the same JSON file and add_special_tokens=False, special strings in a text
-being ordinary text. Where the file is a plain byte-level BPE whose ids follow its merges, the faster ``tiktoken`` does the
+The ids are those of ``tokenizers`` with the same JSON file and add_special_tokens=False. With ``added`` a text is split at the file's added
+tokens, as that call does by default; without it they are ordinary text (``encode_special_tokens``). Where the file is a plain byte-level BPE whose ids follow its merges, the faster ``tiktoken`` does the
 merging from the ranks in that file (same ids, tested); any other file is left to ``tokenizers``.
 """
 
@@ -26,28 +26,32 @@ def byte_of_char() -> dict[str, int]:
 class Encoder:
     """ids(text) as uint32, and size[id]: the bytes of each id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         model = json.load(open(path, encoding="utf-8"))
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        tokens = model.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in tokens}
+        plain = len(tokens) <= 1 and not any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word"))
         back = byte_of_char()
         ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
-        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.size = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
+        self.size[list(special.values())] = [len(t.encode()) for t in special]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        if model["model"]["type"] == "BPE" and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs)):
+        if model["model"]["type"] == "BPE" and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs)) and (plain or not added):
             import tiktoken
 
-            merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.ids = lambda text: merger.encode_to_numpy(text, disallowed_special=())
+            merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+            allowed = set(special) if added else set()
+            self.ids = lambda text: merger.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not added
             self.ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)

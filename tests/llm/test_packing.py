@@ -5,6 +5,8 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+import corpus_pipeline
+from strandline.llm import queries
 from strandline.llm._common import vocab_path
 from strandline.llm.packing import pack, pack_documents, step_groups
 
@@ -61,3 +63,19 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c", "en", "", "")] * 3, SCHEMA)
     assert sum(r.length for r in pack_documents(df).collect()) == 3 * 4
     assert pack_documents(df.limit(0)).collect() == []
+
+
+def test_query_splits_at_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>\n\n <|endoftext", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(vocab_path())
+    ids = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in ids[0]
+    packed, counted = queries.op2_packing(spark, str(tmp_path)).collect(), queries.op10_token_counts(spark, str(tmp_path)).collect()
+    stage = corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    for i, own in enumerate(ids):
+        want = np.array([*own, 1], "<u4")
+        for rows in (packed, stage):
+            mine = [r for r in rows if r.doc_id == i]
+            assert all(r.doc_tokens == len(want) and r.ids_crc32 == zlib.crc32(want[r.start : r.start + r.length].tobytes()) for r in mine)
+        assert {r.doc_tokens for r in counted if r.doc_id == i} == {len(own)}
