@@ -214,7 +214,7 @@ def v4(spark, d):
     e = table(spark, d, "embeddings")
     s = engine(spark).session()
     s.sql("CREATE SHARED TABLE v (vec_id BIGINT PRIMARY KEY, e EMBEDDING(64))")
-    s.insert("v", e.filter("vec_id < 200").select("vec_id", F.col("embedding").alias("e")))
+    s.insert("v", e.select("vec_id", F.col("embedding").alias("e")))
     s.sql("STORAGE FLUSH TABLE v")
     q = [float(x) for x in e.filter("vec_id = 11").first()["embedding"]]
     return vector.vector_search(s.read("v"), "e", q, 1, pk="vec_id").select("row_id")

@@ -53,3 +53,12 @@ def test_plans(spark):
     assert "EqualTo(o_orderkey,420)" in plan("s5_point_lookup")
     assert "o_totalprice" not in plan("s6_count_scan").split("ReadSchema", 1)[1]
     assert "TakeOrderedAndProject" in plan("o3_top_k") and "BroadcastHashJoin" in plan("j2_small_side")
+
+
+def test_flushed_vectors_hold_the_whole_table(spark, monkeypatch):
+    from strandline.queries import maintenance
+
+    seen, real = [], maintenance.vector.vector_search
+    monkeypatch.setattr(maintenance.vector, "vector_search", lambda df, *a, **b: seen.append(df) or real(df, *a, **b))
+    assert [r.row_id for r in catalogue.queries()["v4_flushed_vectors"](spark, D).collect()] == ["11"]
+    assert seen[0].count() == spark.read.parquet(f"{D}/embeddings.parquet").count()
