@@ -3,7 +3,7 @@
 A fingerprint is the signature of ``n`` (128) permutations, 16 bits each, as hexadecimal text. The likeness of two fingerprints is the
 share of equal values, corrected for the chance agreement of 16-bit values. Equal texts have equal fingerprints.
 
-:func:`similar_pairs` joins signature bands in Spark and verifies the pairs by exact Jaccard, through the join of ``jaccard_join``.
+:func:`similar_pairs` is the join of ``jaccard_join``, with its own signatures of 240 values; the fingerprints of this module are not banded or joined.
 
 :func:`edited_fingerprints` also fingerprints each document's edited text, whose last half comes from the next document by id. The
 next document is found without a global window: ids are cut into ranges at approximate quantiles (at most ``most_ranges``), each range is a partition, sorted
