@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import pathlib
 import tempfile
@@ -13,8 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of ``sf_dir``, read by Spark only (any Hadoop path)."""
@@ -29,13 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of a block."""
+    have = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if have is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, have)
+
+
+#: Removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. Its shuffle files go as soon as it is written.
 
-    The files go when the driver's JVM ends, since a result that is not yet computed may still read them."""
+    The files go when the driver's JVM ends, since a result that is not yet computed may still read them; :func:`drop_written` removes them before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,10 +88,11 @@ def hashed_sample(df: DataFrame, n: int, hashed: Column, *ties: str) -> DataFram
 
 
 def texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and int64 bounds (n + 1) of a string array; null counts as empty."""
+    """UTF-8 bytes and int64 bounds (n + 1) of a string (or binary) array; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.fill_null("").cast(pa.large_string())
+    binary = pa.types.is_binary(col.type)
+    col = col.fill_null(b"" if binary else "").cast(pa.large_binary() if binary else pa.large_string())
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     bufs = col.buffers()
@@ -82,17 +101,6 @@ def texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers (xor-shift and multiply)."""
-    x = x.astype(U64, copy=True)
-    x ^= x >> U64(33)
-    x *= U64(0xFF51AFD7ED558CCD)
-    x ^= x >> U64(33)
-    x *= U64(0xC4CEB9FE1A85EC53)
-    x ^= x >> U64(33)
-    return x
-
-
 _shipped: set[str] = set()
 
 

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, fresh, materialise, mix64, small_batches, texts
+from ._common import fresh, materialise, small_batches, texts
 from .components import components
+from .ranks import U64, mix64
 from .shingles import MinHash, shingles
 
 BANDS, ROWS, STEP = 40, 6, 24

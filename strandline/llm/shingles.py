@@ -1,18 +1,21 @@
 """Word shingles and MinHash in vectorised numpy.
 
 A word is a run without the ASCII blanks \\x20 and \\x09 to \\x0D; a shingle is ``width`` (5) words in a row. A text of 1 to
-``width`` - 1 words has one shingle, all its words; a text without words has none. Words and shingles are 64-bit names, from polynomial hashes
-with random tables. MinHash takes for each of many universal permutations a x + b (mod 2**32, a odd) the least value over the shingles.
+``width`` - 1 words has one shingle, all its words; a text without words has none. Words and shingles are 64-bit names: a word's eight-byte pieces,
+the last one filled with zeros, and its length are folded by the pairs of ``ranks``; words over ``LONG`` bytes are named by blake2b. MinHash takes for each of many universal permutations a x + b (mod 2**32, a odd) the least value over the shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-from ._common import U64, mix64
-from .suffix_dedup import Names
+from .ranks import U64, Ranks, mix64
 
 WIDTH = 5
+#: Bytes of a word that are folded piece by piece.
+LONG = 64
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: The signature value of a text without words.
@@ -29,11 +32,27 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return first, last
 
 
+def word_names(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit names of the words from ``first`` to ``last``."""
+    if not len(first):
+        return np.zeros(0, U64)
+    family, size = Ranks.get(11), last - first
+    eight = np.ndarray((len(data),), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, 0, (1,))
+    out = mix64(size.astype(U64))
+    for k in range(0, min(int(size.max()), LONG), 8):
+        some = np.flatnonzero(size > k) if k else slice(None)
+        rest = 8 * np.minimum(size[some] - k, 8).astype(U64)
+        piece = eight[first[some] + k] & (~U64(0) >> (U64(64) - rest))
+        out[some] = family.pair(out[some], mix64(piece))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = U64(int.from_bytes(hashlib.blake2b(data[first[i] : last[i]], digest_size=8).digest(), "little"))
+    return mix64(out)
+
+
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Shingle names of all texts, and the bounds (n + 1) of each text's part; repeats are kept."""
     first, last = word_spans(data, bounds)
-    names = Names.get(11)
-    word = mix64(names.of(names.sums(data), first, last)) if len(first) else np.zeros(0, U64)
+    word = word_names(data, first, last)
     at = np.searchsorted(first, bounds)
     count = np.diff(at)
     n = np.where(count >= width, count - width + 1, np.minimum(count, 1))

@@ -3,22 +3,23 @@
 A string of ``length`` (200) bytes that starts at two or more places of the corpus has all its bytes
 removed, at every place. Strings are judged on the input and never cross documents.
 
-How the ranks double:
+Ranks (``ranks``): 8 bytes rank as themselves, and 16, 32, 64 and 128 bytes by the pair of ranks of the two halves, at offsets that double; the last lengths by ranks
+that overlap. A rank is equal wherever its bytes are, so a task ranks its own positions and Spark decides which ranks occur again:
 
-* Positions are sampled by content: every window of ``length`` bytes picks the position of its
-  smallest hashed 50-byte prefix (leftmost on ties). Equal windows pick the same position, so equality of
-  windows is decided among equal sampled positions only; about 1.3 % of all bytes are sampled.
+* Positions are sampled by content: every window of ``length`` bytes picks the position of least rank of 48 bytes (leftmost on ties). Equal windows pick
+  the same position, so equality of windows is decided among equal sampled positions only; about 1.3 % of all bytes are sampled.
   The windows that pick one position form its *run*, a stretch of at most 350 bytes.
-* Each round gives every entry two ranks: that of its core, which all its windows hold, and that of its hull, which they span.
+* Each round sorts the entries by the rank of their core, which all their windows hold, and looks at that of their hull, which they span.
   A core that occurs once is unique: its windows leave. If all entries with one core share one hull, whole windows repeat:
-  past the threshold. Otherwise one copy of each distinct hull goes on to the next round with longer cores.
-* Rounds: the core is 50 bytes and the hull a run; then 185 bytes and up to 16 neighbouring windows; then 200 bytes, one
-  window, named by the pair (rank of 100 bytes at q, rank of 100 bytes at q + 100).
+  past the threshold. Otherwise one entry of each distinct hull goes on to the next round, with a longer core.
+* Rounds: the core is 48 bytes (32 and 32, 16 apart) and the hull a run; then 185 bytes (128 and 128) and up to 16 neighbouring windows; then 200 bytes (128 and 128, 72 apart), one
+  window, ranked in two families.
 
-Names are 64-bit polynomial hashes with random tables; a window's name is a pair of independent ones.
+Core and hull are ranked in different families of 64 bits, so strings of one core are taken as equal by mistake with probability 2**-64, and strings without a
+common core never unless 128 bits agree.
 
-Ranks are counted with partial aggregation and joined back (sort-merge, so AQE may split a hot rank);
-no group is collected, apart from the repeated runs of one document.
+Each round is written once, and its shuffle files go when it is written. Whole texts are shuffled twice: to the entries that the first round leaves open, and to the result; the last round
+takes the bytes it needs along. Ranks are counted with partial aggregation and joined back (sort-merge, so AQE may split a hot rank); no group is collected, apart from the entries of one document.
 
 Cases: null text counts as empty (n_bytes 0, sha256 of nothing). Equal rows, also with equal ids, are separate
 documents and so repeat each other. A null id stays null. Texts under ``length`` bytes are never changed.
@@ -34,66 +35,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, fresh, materialise, mix64, small_batches, texts
+from ._common import drop_written, fresh, materialise, small_batches, texts
+from .ranks import U64, Ranks, mix64, octets
 
-PREFIX = 50
+PREFIX = 48
 BLOCK = 16
-CHUNK = 1 << 16
-
-#: pos: first window << 16 | bytes from there to the sampled position << 8 | windows. own: is a result wanted for it?
-ENTRIES = "k1 long, k2 int, pos long, own boolean, core long, hull long"
-NAMES = [f.split(" ")[0] for f in ENTRIES.split(", ")]
+CHUNK = 1 << 15
+
+#: pos: first window << 16 | bytes from there to the sampled position << 8 | windows.
+PLACE = ["k1", "k2", "pos"]
+ENTRIES = "k1 long, k2 int, pos long, core long, hull long"
+#: own: is a result wanted for it? bytes: those of the hull.
+BLOCKS = "k1 long, k2 int, pos long, own boolean, core long, hull long, bytes binary"
+WINDOWS = "k1 long, k2 int, pos long, own boolean, core long, hull long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-class Names:
-    """Names of substrings of one buffer in O(1): polynomial prefix sums modulo 2**64."""
-
-    _made: dict = {}
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-        self.base = int(rng.integers(1, 2**62)) * 4 + 3
-        self.power = np.ones(1, U64)
-        self.inverse = np.ones(1, U64)
-
-    @classmethod
-    def get(cls, seed: int) -> Names:
-        return cls._made.setdefault(seed, cls(seed))
+def names(schema: str) -> list[str]:
+    return [f.split(" ")[0] for f in schema.split(", ")]
 
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            for name, base in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
-                steps = np.full(n, base & (2**64 - 1), U64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
-    def sums(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.table[data] * self.power[: len(data)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (sums[end] - sums[start]) * self.inverse[start]
-
-    def every(self, sums: np.ndarray, length: int) -> np.ndarray:
-        n = len(sums) - length
-        return (sums[length:] - sums[:n]) * self.inverse[:n]
+def top_rank(length: int) -> int:
+    """The bytes of the greatest rank: a power of two that fits into every core."""
+    return 1 << ((length - BLOCK + 1).bit_length() - 1)
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that pick one position: first window, sampled position, windows, prefix name, run name.
+    """Runs of windows that pick one position: first window, sampled position, windows, core rank, hull rank.
 
     ``data`` holds whole texts side by side, ``ends`` the end of the text that each byte lies in."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none, none
-    a, b = Names.get(1), Names.get(2)
-    sums = a.sums(data)
-    prefix = mix64(a.every(sums, PREFIX))
+    a, b, top = Ranks.get(1), Ranks.get(2), top_rank(length)
+    eight = octets(data)
+    prefix = a.apart(a.doubled(eight, 8, 32), PREFIX - 32)
     low = (prefix & ~U64(0xFFFFF)) | np.arange(len(prefix), dtype=U64)
     width, have = length - PREFIX + 1, 1
     while have < width:  # sliding minimum by doubling
@@ -108,9 +85,9 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     gone = np.concatenate((np.flatnonzero(~inside), [n]))
     stop = np.minimum(np.append(starts[1:], n), gone[np.searchsorted(gone, starts)])
     at = pick[starts]
-    whole = b.of(b.sums(data), starts, stop + length - 1)
-    name = mix64(whole ^ mix64(((at - starts) << 20 | (stop - starts)).astype(U64)))
-    return starts, at, stop - starts, prefix[at].view(np.int64), name.view(np.int64)
+    whole = b.cover(b.doubled(eight, 8, top), top, starts, stop + length - 1)
+    hull = b.pair(whole, mix64(((at - starts) << 20 | (stop - starts)).astype(U64)))
+    return starts, at, stop - starts, prefix[at].view(np.int64), hull.view(np.int64)
 
 
 def _chunks(bounds: np.ndarray, length: int):
@@ -146,52 +123,80 @@ def _anchor_rows(length: int):
                 doc = np.array([d for d, _, _ in group])[which]
                 at = start - first[which] + np.array([s - bounds[d] for d, s, _ in group])[which]
                 pos = at << 16 | (pick - start) << 8 | count
-                yield pa.RecordBatch.from_arrays([k1.take(pa.array(doc)), k2.take(pa.array(doc)), pa.array(pos), pa.array(np.ones(len(pos), bool)), pa.array(core), pa.array(hull)], NAMES)
+                yield pa.RecordBatch.from_arrays([k1.take(pa.array(doc)), k2.take(pa.array(doc)), pa.array(pos), pa.array(core), pa.array(hull)], names(ENTRIES))
 
     return rows
 
 
-def blocks(first, rel, count, length: int, size: int):
-    """Cuts runs at multiples of ``size`` windows, counted back from the sampled position.
+def blocks(first, rel, count, length: int):
+    """Cuts runs at multiples of ``BLOCK`` windows, counted back from the sampled position.
 
     Gives for each block: its run, first window, windows, and the start and length of its core."""
-    high, low = rel // size, (rel - count + 1) // size
+    high, low = rel // BLOCK, (rel - count + 1) // BLOCK
     n = high - low + 1
     run = np.repeat(np.arange(len(first)), n)
     j = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
     point, widest = (first + rel)[run], length - PREFIX
-    back, least = np.minimum(rel[run], j * size + size - 1), np.maximum((rel - count + 1)[run], j * size)
-    start = point - j * size
-    return run, point - back, back - least + 1, start, length - (np.minimum(j * size + size - 1, widest) - j * size)
+    back, least = np.minimum(rel[run], j * BLOCK + BLOCK - 1), np.maximum((rel - count + 1)[run], j * BLOCK)
+    start = point - j * BLOCK
+    return run, point - back, back - least + 1, start, length - (np.minimum(j * BLOCK + BLOCK - 1, widest) - j * BLOCK)
 
 
-def _block_rows(length: int, size: int):
-    half = length // 2
+def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Byte strings of a buffer, as a binary array."""
+    size = end - start
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    index = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[index])])
 
+
+def _block_rows(length: int):
     def rows(batches):
-        a, b = Names.get(3), Names.get(4)
+        a, b, top = Ranks.get(3), Ranks.get(4), top_rank(length)
         for batch in batches:
             data, bounds = texts(batch.column(2))
-            for d, found in enumerate(batch.column(3).to_pylist()):
-                text = data[bounds[d] : bounds[d + 1]]
-                pos_all = np.array([r["pos"] for r in found], np.int64)
-                own_all = np.array([r["own"] for r in found], bool)
-                for lo in range(0, max(1, len(text)), CHUNK):
-                    mine = (pos_all >> 16 >= lo) & (pos_all >> 16 < lo + CHUNK)
-                    if not mine.any():
-                        continue
-                    pos, own, back = pos_all[mine], own_all[mine], max(0, lo - length)
-                    part = text[back : lo + CHUNK + 3 * length]
-                    run, q, n, c, clen = blocks((pos >> 16) - back, pos >> 8 & 0xFF, pos & 0xFF, length, size)
-                    sums = [h.sums(part) for h in (a, b)]
-                    point = ((pos >> 16) + (pos >> 8 & 0xFF) - back)[run]
-                    if size == 1:  # the pair of ranks at q and q + half
-                        core, hull = (mix64(mix64(h.of(s, q, q + half)) + h.of(s, q + half, q + length)) for h, s in zip((a, b), sums))
-                    else:
-                        core = mix64(mix64(a.of(sums[0], c, c + clen)) + (point - c).astype(U64))
-                        hull = mix64(mix64(b.of(sums[1], q, q + n - 1 + length)) + ((point - q) << 8 | n).astype(U64))
-                    at = pa.array(np.full(len(q), d))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((q + back) << 16 | (point - q) << 8 | n), pa.array(own[run]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], NAMES)
+            found = batch.column(3)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(found.offsets.to_numpy()))
+            flat = found.flatten()
+            pos, own = (x.to_numpy(zero_copy_only=False) for x in flat.flatten())
+            place = bounds[doc] + (pos >> 16)  # where each run starts among the batch's bytes
+            order = np.argsort(place, kind="stable")
+            doc, pos, own, place = doc[order], pos[order], own[order], place[order]
+            for lo in range(0, len(data), CHUNK):
+                s, e = np.searchsorted(place, [lo, lo + CHUNK])
+                if s == e:
+                    continue
+                part = data[lo : lo + CHUNK + 3 * length]
+                run, q, n, c, clen = blocks(place[s:e] - lo, pos[s:e] >> 8 & 0xFF, pos[s:e] & 0xFF, length)
+                eight = octets(part)
+                point = (place[s:e] - lo + (pos[s:e] >> 8 & 0xFF))[run]
+                core = a.pair(a.cover(a.doubled(eight, 8, top), top, c, c + clen), mix64((point - c).astype(U64)))
+                hull = b.pair(b.cover(b.doubled(eight, 8, top), top, q, q + n - 1 + length), mix64(((point - q) << 8 | n).astype(U64)))
+                at = doc[s:e][run]
+                start = q + lo - bounds[at]
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start << 16 | (point - q) << 8 | n), pa.array(own[s:e][run]), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), _slices(part, q, q + n - 1 + length)],
+                    names(BLOCKS),
+                )
+
+    return rows
+
+
+def _window_rows(length: int):
+    def rows(batches):
+        families, top = (Ranks.get(5), Ranks.get(6)), top_rank(length)
+        for batch in batches:
+            data, bounds = texts(batch.column(4))
+            n = np.diff(bounds) - length + 1
+            row = np.repeat(np.arange(batch.num_rows), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            q = bounds[row] + step
+            eight = octets(data)
+            core, hull = (f.cover(f.doubled(eight, 8, top), top, q, q + length) for f in families)
+            pos = (batch.column(2).to_numpy()[row] >> 16) + step << 16 | 1
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), batch.column(3).take(at), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64))], names(WINDOWS))
 
     return rows
 
@@ -230,47 +235,51 @@ def _result_rows(length: int):
                 gone.append(int((hi - lo).sum()))
                 spans.append(len(lo))
                 sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], names(RESULT))
 
     return rows
 
 
-def _ranked(entries: DataFrame) -> DataFrame:
-    """Entries whose core occurs again, with whether all of that core share one hull."""
-    ranks = entries.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("hull").alias("a"), F.max("hull").alias("b"))
-    return entries.join(ranks.filter("c > 1").select(fresh("core").alias("core"), (F.col("a") == F.col("b")).alias("settled")), "core")
+def _again(entries: DataFrame) -> DataFrame:
+    """Places whose core occurs again, with whether all of that core share one hull."""
+    ranks = entries.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("hull").alias("a"), F.max("hull").alias("b")).filter("c > 1")
+    return entries.join(ranks.select(fresh("core").alias("core"), (F.col("a") == F.col("b")).alias("settled")).hint("merge"), "core")
 
 
-def _split(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Positions that repeat, and the entries of the next round by document: one for each distinct hull."""
-    at = ["k1", "k2", "pos"]
-    mixed = ranked.filter("not settled").drop("settled").withColumn("core", fresh("core"))
-    names = mixed.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*at, "own")).alias("one"))
-    again = mixed.filter("own").join(names.filter("c > 1").select(fresh("core").alias("core"), fresh("hull").alias("hull")), ["core", "hull"])
-    entry = F.struct("one.pos", (F.col("one.own") & (F.col("c") == 1)).alias("own"))
-    lone = names.groupBy(F.col("one.k1").alias("e1"), F.col("one.k2").alias("e2")).agg(F.collect_list(entry).alias("entries"))
-    return ranked.filter("settled and own").select(*at).unionAll(again.select(*at)), lone
+def _split(ranked: DataFrame, entry) -> tuple[DataFrame, DataFrame]:
+    """Places that repeat, and one entry for each distinct hull of the cores that are not settled: core, hull, c, one."""
+    mixed = ranked.filter("not settled")
+    one = materialise(mixed.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(entry).alias("one")))
+    twice = one.filter("c > 1").select(fresh("core").alias("core"), fresh("hull").alias("hull")).hint("merge")
+    again = mixed.filter("own").join(twice, ["core", "hull"])
+    return ranked.filter("settled and own").select(*PLACE).unionAll(again.select(*PLACE)), one
 
 
 def repeated_windows(docs: DataFrame, length: int = 200) -> DataFrame:
     """Windows that repeat: (k1, k2, pos). ``docs``: k1, k2, text."""
-    if not PREFIX < length <= 300 or length % 2:
-        raise ValueError(f"length must be even, over {PREFIX} and at most 300")
-    ranked = materialise(_ranked(docs.mapInArrow(_anchor_rows(length), ENTRIES)))
-    found, lone = _split(ranked)
-    for size in (BLOCK, 1):
-        here = docs.join(lone, F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
-        ranked = _ranked(here.select("k1", "k2", "text", "entries").mapInArrow(_block_rows(length, size), ENTRIES))
-        if size == 1:
-            return found.unionAll(ranked.filter("settled and own").select("k1", "k2", "pos"))
-        more, lone = _split(ranked)
-        found = found.unionAll(more)
+    if not 2 * PREFIX <= length <= 300:
+        raise ValueError(f"length must be {2 * PREFIX} to 300")
+    sampled = materialise(docs.mapInArrow(_anchor_rows(length), ENTRIES))
+    ranked = materialise(_again(sampled).withColumn("own", F.lit(True)))
+    drop_written(sampled)
+    runs_again, one = _split(ranked, F.struct(*PLACE))
+    lone = one.groupBy(F.col("one.k1").alias("e1"), F.col("one.k2").alias("e2")).agg(F.collect_list(F.struct(F.col("one.pos").alias("pos"), (F.col("c") == 1).alias("own"))).alias("entries"))
+    here = docs.join(lone.hint("merge"), F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
+    cut = materialise(here.select("k1", "k2", "text", "entries").mapInArrow(_block_rows(length), BLOCKS))
+    ranked = materialise(_again(cut))
+    drop_written(cut)
+    blocks_again, one = _split(ranked, F.struct(*PLACE, "own", "bytes"))
+    windows = one.select("one.k1", "one.k2", "one.pos", (F.col("one.own") & (F.col("c") == 1)).alias("own"), "one.bytes").mapInArrow(_window_rows(length), WINDOWS)
+    windows = materialise(windows)
+    twice = windows.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(fresh("core").alias("core"), fresh("hull").alias("hull")).hint("merge")
+    return runs_again.unionAll(blocks_again).unionAll(windows.filter("own").join(twice, ["core", "hull"]).select(*PLACE))
 
 
 def suffix_dedup(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256. See the module's text for the cases."""
     small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("k1"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"), F.col(text_col).alias("text"))
-    spans = repeated_windows(docs, length).groupBy(F.col("k1").alias("e1"), F.col("k2").alias("e2")).agg(F.collect_list("pos").alias("spans"))
-    joined = docs.join(spans, F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")), "left")
+    # equal rows gave the same places, so each counts once
+    spans = materialise(repeated_windows(docs, length).distinct().groupBy(F.col("k1").alias("e1"), F.col("k2").alias("e2")).agg(F.collect_list("pos").alias("spans")))
+    joined = docs.join(spans.hint("merge"), F.col("k1").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")), "left")
     return joined.select(F.col("k1").alias("doc_id"), "text", "spans").mapInArrow(_result_rows(length), RESULT)

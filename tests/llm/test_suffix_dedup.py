@@ -72,5 +72,56 @@ def test_long_text_over_several_pieces(spark, monkeypatch):
     assert got[1][4] == hashlib.sha256((big[:500_000] + big[560_000:]).encode()).hexdigest()
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("a,b", [("!", "/"), (" ", '"'), ("a", "b")])
+def test_thue_morse(spark, a, b):
+    """Strings of 128 bytes that are each other's complement differ, however alike they are built."""
+    rng = random.Random(3)
+    head, tail = ("".join(rng.choices("abcdefgh", k=n)) for n in (200, 400))
+    docs = [(1, head + thue_morse(128, a, b) + tail), (2, head + thue_morse(128, b, a) + tail)]
+    got = run(spark, docs)
+    assert got == brute(docs) and [r[2:4] for r in got] == [(600, 2), (600, 2)]
+
+
+def test_structured_texts(spark):
+    """Periodic texts, Thue-Morse texts with one changed letter, and pieces of them at all kinds of shifts."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(30):
+        base = rng.choice([thue_morse(1024, "x", "y"), "abc" * 300, "ab" * 99 + "c" + "ab" * 150, "\n" * 450, thue_morse(512, "0", "1") + thue_morse(512, "1", "0")])
+        cut = rng.randint(0, 300)
+        text = base[cut : cut + rng.randint(180, 700)]
+        at = rng.randint(0, len(text) - 1)
+        docs.append((i, text if rng.random() < 0.3 else text[:at] + rng.choice("xyab#") + text[at + 1 :]))
+    assert run(spark, docs) == brute(docs)
+
+
+@pytest.mark.parametrize("length", [96, 143, 300])
+def test_other_lengths(spark, length):
+    rng = random.Random(length)
+    base = words(rng, 400)
+    docs = [(i, base[(s := rng.randint(0, 900)) : s + rng.randint(80, 900)] + words(rng, 9)) for i in range(20)]
+    assert run(spark, docs, length=length) == brute(docs, length)
+
+
+def test_ranks_are_equal_for_equal_bytes_only():
+    import numpy as np
+
+    from strandline.llm.ranks import Ranks, octets
+
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.integers(97, 99, 3000, dtype=np.uint8), np.frombuffer(b"ab" * 800, np.uint8)])
+    family = Ranks.get(7)
+    raw = data.tobytes()
+    for size in (8, 16, 32, 64):
+        ranks = family.doubled(octets(data), 8, size)
+        assert len(ranks) == len(data) - size + 1
+        pieces = [raw[i : i + size] for i in range(len(ranks))]
+        assert len(set(zip(pieces, ranks.tolist()))) == len(set(pieces)) == len(set(ranks.tolist()))
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
