@@ -1,7 +1,12 @@
 import hashlib
 import re
 
-from strandline.llm.secret_scan import KINDS, mask_secrets, secret_scan
+import random
+import time
+
+from pyspark.sql import functions as F
+
+from strandline.llm.secret_scan import DUMMY, KINDS, mask_secrets, running, secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _spans string, _row string"
 
@@ -25,7 +30,9 @@ def brute(rows):
         spans = brute_spans(r[1] or "")
         wide = [len(owners[s[4]] - {None}) >= 3 for s in spans]
         write = lambda keep: ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in spans if s[1] in keep)
-        out.append((r[0], *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(write({0, 1, 2}).encode()).hexdigest(), write({0, 1, 2, 3}), wide.count(False), wide.count(True)))
+        dummy = [bool(re.search(DUMMY, s[4])) or len(set(s[4])) <= 2 for s in spans]
+        live = sum(not w and not d for w, d in zip(wide, dummy))
+        out.append((r[0], *(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(write({0, 1, 2}).encode()).hexdigest(), write({0, 1, 2, 3}), live, wide.count(True), len(spans) - live - wide.count(True)))
     return sorted(out, key=str)
 
 
@@ -58,9 +65,55 @@ def test_masks(spark):
     got = {r.doc_id: r for r in mask_secrets(spark.createDataFrame(rows(), SCHEMA)).collect()}
     assert len(got) == len({r[0] for r in rows()})
     assert got[0].text == "<SECRET> and é token: abc"
-    assert got[5].text == "𝔘𝔘 <SECRET>\n<SECRET>\" <SECRET>" and got[5].n_chars == len(got[5].text)
+    assert got[5].text == "𝔘𝔘 <SECRET>\n<EXAMPLE>\" <SECRET>" and got[5].n_chars == len(got[5].text)
     assert got[50].text == "<EXAMPLE>" and got[6].text is None and got[7].text == "" and got[8].text == "nothing here"
-    assert got[10].text == "<SECRET> " + " ".join(["<SECRET>"] * 200)
+    assert got[10].text == "<EXAMPLE> " + " ".join(["<SECRET>"] * 200)
+
+
+def brute_mask(text, wide):
+    groups = []
+    for start, _, _, end, value in brute_spans(text):
+        harmless = value in wide or bool(re.search(DUMMY, value)) or len(set(value)) <= 2
+        if groups and start < groups[-1][1]:
+            groups[-1] = (groups[-1][0], max(groups[-1][1], end), groups[-1][2] and harmless)
+        else:
+            groups.append((start, end, harmless))
+    for start, end, harmless in reversed(groups):
+        text = text[:start] + ("<EXAMPLE>" if harmless else "<SECRET>") + text[end:]
+    return text
+
+
+def test_masks_by_brute_force(spark):
+    rng = random.Random(6)
+    pieces = ["password=", "token: ", "é𝔘 ", "0123456789abcdef" * 2, "deadbeef" * 4, "AKIA" + "Q7" * 10, " ", "\n", "secret=changeme", "zzzzzzzz", "api_key='", "ghp_" + "a1" * 20, "word "]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.choice([2, 9, 60, 400]))), "en", f"s{i % 5}", 0, None, None) for i in range(60)]
+    rows = [(*r[:4], len(r[1]), *r[5:]) for r in rows]
+    owners = {}
+    for r in rows:
+        for s in brute_spans(r[1]):
+            owners.setdefault(s[4], set()).add(r[3])
+    wide = {v for v, o in owners.items() if len(o) >= 3}
+    got = {r.doc_id: r for r in mask_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: got[i].text for i in got} == {r[0]: brute_mask(r[1], wide) for r in rows}
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_very_many_matches_in_one_text(spark):
+    """The work grows in proportion to the matches: 64,000 of them take seconds."""
+    df = spark.createDataFrame([(1, "password=abcdef1 " * 64_000, "en", "a", 0, None, None)], SCHEMA)
+    began = time.time()
+    row = secret_scan(df).first()
+    masked = mask_secrets(df).first()
+    assert time.time() - began < 40
+    assert row.n_assign == row.n_live == 64_000 and row.spans.endswith(f"assign:{17 * 63_999}:{17 * 63_999 + 16}")
+    assert masked.text == "<SECRET> " * 64_000
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 255, 256, 257, 65_536, 65_537, 200_000):
+        df = spark.range(1).select(F.slice(F.sequence(F.lit(0), F.lit(n)), F.lit(2), F.lit(n)).cast("array<bigint>").alias("a"))
+        got = running(df, "s", "a", lambda a, x: a + x, F.lit(0).cast("long")).first().s
+        assert got == [i * (i + 1) // 2 for i in range(n)]
 
 
 def test_row_count_and_columns_stay(spark):
