@@ -68,6 +68,63 @@ def test_brute_force(spark, seed, block):
     assert sorted(((r.doc_id, r.copy_of, r.n_links, r.class_id) for r in got), key=str) == brute(docs)
 
 
+def test_exact_whatever_the_order(spark):
+    """The sample decides about the work, never about the links."""
+    docs = corpus(6)
+    want = brute(docs)
+    for options in ({"order_rows": 5}, {"order_shingles": 3}, {"order_rows": 1000}):
+        got = jaccard_join(frame(spark, docs), **options).collect()
+        assert sorted(((r.doc_id, r.copy_of, r.n_links, r.class_id) for r in got), key=str) == want
+
+
+def test_links_at_the_threshold(spark):
+    """Pairs just at and just under 0.8 and sets of all small sizes."""
+    docs = []
+    for n in range(1, 60):
+        words = [f"n{n}x{i}" for i in range(n + 4)]
+        docs += [(n * 10, " ".join(words))]
+        for k, cut in enumerate((1, 2, 3, n // 5, n // 4)):
+            if 0 < cut < n:
+                docs.append((n * 10 + k + 1, " ".join(words[:-cut])))
+    got = jaccard_join(frame(spark, docs), block=16).collect()
+    assert sorted(((r.doc_id, r.copy_of, r.n_links, r.class_id) for r in got), key=str) == brute(docs)
+
+
+def templates(n, seed=4):
+    """Texts of one template: any two have a similarity of about 0.4."""
+    rng = random.Random(seed)
+    shared = [f"t{i}" for i in range(180)]
+    return [(i, " ".join(shared + [f"u{rng.random()}" for _ in range(132)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [100, 400])
+def test_templates_are_no_candidates(spark, n):
+    """Any number of texts that share 0.4 gives no candidate at all, so the work grows with the texts."""
+    from strandline.llm.jaccard_join import Joined, shingle_order
+
+    docs = templates(n)
+    a, b = shingle_set(docs[0][1]), shingle_set(docs[1][1])
+    assert 0.35 < len(a & b) / len(a | b) < 0.45
+    df = frame(spark, docs)
+    assert Joined(df, shingle_order(df, 0.8), 0.8, 1e-9, 512, "doc_id", "text").members.count() == 0
+    docs += [(5000, docs[0][1] + " end"), (5001, docs[0][1] + " other")]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join(frame(spark, docs)).collect()}
+    assert got[0] == got[5000] == got[5001] == (2, 0) and got[1] == (0, 1)
+
+
+def test_candidates_are_the_pairs_that_share_a_key():
+    from strandline.llm.jaccard_join import candidates
+
+    rng = np.random.default_rng(5)
+    for n, m, values in ((9, 9, 40), (30, 20, 500), (6, 7, 3)):
+        a = [np.unique(rng.integers(0, values, 4)).astype(np.uint64) for _ in range(n)]
+        b = [np.unique(rng.integers(0, values, 4)).astype(np.uint64) for _ in range(m)]
+        for other, same in ((b, False), (a, True)):
+            got = set(zip(*(x.tolist() for x in candidates(a, other, same))))
+            want = {(i, j) for i in range(n) for j in range(len(other)) if (not same or i < j) and set(a[i]) & set(other[j])}
+            assert want <= got and (got == want or len(got) == (n * (n - 1) // 2 if same else n * m))
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(3)
     df = frame(spark, docs)
