@@ -52,6 +52,47 @@ def test_targets_and_bounds(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_blocks_by_brute_force(spark):
+    """Every block of a shard in its seeded order, taken until the rest of the quota is used up."""
+    from strandline.llm.mixing import _places
+
+    df = spark.createDataFrame(corpus(4, 150), SCHEMA)
+    places = _places(df, 17, 32, 3000, 3, "doc_id", "text", "source").collect()
+    shards = defaultdict(list)
+    for r in places:
+        shards[r["rank"], r.shard].append(r)
+    want, spread = Counter(), 0
+    for rows in shards.values():
+        one = rows[0]
+        words = [r.k1 for r in sorted(rows, key=lambda r: r.lo) for _ in range(r.size)]
+        assert len(words) == one.s_size
+        order = sorted(range(one.blocks), key=lambda b: (one.step * b + one.shift) % one.blocks)
+        assert sorted((one.step * b + one.shift) % one.blocks for b in range(one.blocks)) == list(range(one.blocks))
+        queue = [w for b in order for w in words[b * 32 : b * 32 + 32]]
+        want.update(Counter(words * one.rounds + queue[: one.rest]))
+        used = -(-one.rest // 32)
+        spread += used > 3 and max(order[:used]) - min(order[:used]) >= used
+        assert one.rounds * one.s_size + one.rest <= 3 * one.s_size
+    got = Counter()
+    for r in mixture(df, shard_tokens=3000).collect():
+        got[r.doc_id] += r.taken
+    assert +got == +want and spread
+
+
+def test_many_shards_go_by_groups(spark, monkeypatch):
+    from strandline.llm import mixing
+
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    taken, source = Counter(), {r[0]: r[3] for r in rows}
+    for r in mixture(df, shard_tokens=500).collect():
+        assert r.taken <= 3 * r.size
+        taken[source[r.doc_id]] += r.taken
+    sizes, want = targets(rows)
+    assert all(abs(taken[s] - want[s]) <= 32 + 0.03 * want[s] for s in sizes)
+
+
 def test_sainte_lague_is_by_highest_quotients(spark):
     rng = random.Random(3)
     rows = [(g, i, rng.choice([0, 1, 5, 50, 700, rng.randint(1, 9999)]), h) for g, h in ((0, 100), (1, 7), (2, 1), (3, 0), (4, 1000)) for i in range(rng.randint(1, 40))]
