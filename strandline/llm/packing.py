@@ -170,7 +170,7 @@ def _rows(path: str, tiers, buffer_tokens: int, step_tokens: int, added: bool):
     return rows
 
 
-def pack_documents(documents: DataFrame, tiers=TIERS, vocabulary: str | None = None, buffer_tokens: int = 4_000_000, step_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def pack_documents(documents: DataFrame, tiers=TIERS, vocabulary: str | None = None, buffer_tokens: int = 4_000_000, step_tokens: int = 65_536, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """One row per piece; sequences of one tier's size, or of a smaller power of two at a task's end. ``added_tokens``: texts are split at the vocabulary's added tokens."""
     tiers = tuple(sorted(tiers))
     if any(t & (t - 1) for t in tiers):

@@ -121,7 +121,7 @@ def _rows(path: str, rule: str, sections: bool, added: bool):
     return rows
 
 
-def token_counts(documents: DataFrame, sections_col: str | None = None, rule: str = "majority", vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
+def token_counts(documents: DataFrame, sections_col: str | None = None, rule: str = "majority", vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = True) -> DataFrame:
     """One row per document and section: its bounds in code points, tokens, tokens that cross a bound, and the document's tokens. ``added_tokens``: as in ``packing``."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

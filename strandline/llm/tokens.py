@@ -1,13 +1,15 @@
 """Byte-level BPE ids from a public vocabulary file, in Python workers.
 
-The ids are those of ``tokenizers`` with the same JSON file and add_special_tokens=False. With ``added`` a text is split at the file's added
-tokens, as that call does by default; without it they are ordinary text (``encode_special_tokens``). Where the file is a plain byte-level BPE whose ids follow its merges, the faster ``tiktoken`` does the
-merging from the ranks in that file (same ids, tested); any other file is left to ``tokenizers``.
+The ids are those of ``tokenizers`` with the same JSON file and add_special_tokens=False. With ``added`` (default) a text is split at the file's added
+tokens, as that call does; without it they are ordinary text (``encode_special_tokens``). Where the file's normaliser, splitting, merges and added tokens are those of a plain
+byte-level BPE (:func:`is_plain`), the faster ``tiktoken`` does the merging from the ranks in that file (same ids, tested); any other file is left to ``tokenizers``, and so is a text with
+``LONG_BLANKS`` blanks in a row, on which the splitting pattern of ``tiktoken`` would run out of its stack.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -23,35 +25,56 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+LONG_BLANKS = 100_000
+_LONG = re.compile(rf"\s{{{LONG_BLANKS}}}")
+
+
+def is_plain(file: dict) -> bool:
+    """Whether a vocabulary file is a byte-level BPE without normaliser, with the usual splitting, with ids in the order of its merges, and at most one added token without options."""
+    model, split, tokens = file["model"], file.get("pre_tokenizer") or {}, file.get("added_tokens") or []
+    if file.get("normalizer") or file.get("truncation") or file.get("post_processor") or model.get("type") != "BPE":
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return False
+    if len(tokens) > 1 or any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word")):
+        return False
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    return all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(pairs))
+
+
 class Encoder:
     """ids(text) as uint32, and size[id]: the bytes of each id."""
 
-    def __init__(self, path: str, added: bool = False):
-        model = json.load(open(path, encoding="utf-8"))
-        vocab, merges = model["model"]["vocab"], model["model"]["merges"]
-        tokens = model.get("added_tokens", [])
-        special = {t["content"]: t["id"] for t in tokens}
-        plain = len(tokens) <= 1 and not any(t.get(k) for t in tokens for k in ("lstrip", "rstrip", "single_word"))
+    def __init__(self, path: str, added: bool = True):
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
+        special = {t["content"]: t["id"] for t in file.get("added_tokens") or []}
         back = byte_of_char()
         ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
         self.size = np.zeros(max([*vocab.values(), *special.values()]) + 1, np.int64)
         self.size[list(ranks.values())] = [len(t) for t in ranks]
         self.size[list(special.values())] = [len(t.encode()) for t in special]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        if model["model"]["type"] == "BPE" and all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs)) and (plain or not added):
+        self._file, self._added, self._slow, self._fast = path, added, None, None
+        if is_plain(file):
             import tiktoken
 
-            merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
-            allowed = set(special) if added else set()
-            self.ids = lambda text: merger.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
-        else:
+            self._fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+            self._allowed = set(special) if added else set()
+
+    def ids(self, text: str) -> np.ndarray:
+        if self._fast is not None and (len(text) < LONG_BLANKS or not _LONG.search(text)):
+            return self._fast.encode_to_numpy(text, allowed_special=self._allowed, disallowed_special=())
+        if self._slow is None:
             from tokenizers import Tokenizer
 
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = not added
-            self.ids = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            self._slow = Tokenizer.from_file(self._file)
+            self._slow.encode_special_tokens = not self._added
+        return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     return Encoder(path, added)

@@ -15,7 +15,6 @@ SCHEMA = "doc_id long, text string, lang string, length string, tier string"
 
 def check(rows, texts):
     tok = Tokenizer.from_file(vocab_path())
-    tok.encode_special_tokens = True
     ids = {d: np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for d, t in texts.items()}
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -40,7 +39,7 @@ def check(rows, texts):
 def test_round_trip_with_tokenizers_ids(spark):
     rng = random.Random(5)
     texts = {i: " ".join(rng.choice(["the", "öl", "wh,", "12", "don't", "\n\n", "𝔘"]) for _ in range(rng.choice([0, 1, 30, 200, 900, 5000]))) for i in range(120)}
-    texts |= {500: None, 501: "", 502: "<|endoftext|> x" * 400, 503: "z" * 30_000, None: "null id"}
+    texts |= {500: None, 501: "", 502: "<|endoftext|> x" * 400, 503: "z" * 30_000, 504: "a <|endoftext|> b", 505: "x" + " " * 2_000_000 + "y", 506: "\n" * 1_100_000, None: "null id"}
     df = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in texts.items()], SCHEMA).repartition(3)
     check(pack_documents(df).collect(), texts)
     check(pack_documents(df, buffer_tokens=3000).collect(), texts)
@@ -59,6 +58,31 @@ def test_packing_is_full_and_groups_are_balanced():
     assert max(groups.values()) < 1.5 * min(groups.values())
 
 
+def test_other_files_are_left_to_tokenizers(tmp_path):
+    """The fast path is taken only where the file's normaliser, splitting, merges and added tokens are what it assumes."""
+    import json
+
+    from strandline.llm.tokens import Encoder, is_plain
+
+    with open(vocab_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert is_plain(file)
+    changes = [
+        {"normalizer": {"type": "Lowercase"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+        {"added_tokens": [{**file["added_tokens"][0], "lstrip": True}]},
+        {"model": {**file["model"], "ignore_merges": True}},
+    ]
+    text = "Two  WORDS and <|endoftext|> don't"
+    for i, change in enumerate(changes):
+        path = f"{tmp_path}/{i}.json"
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({**file, **change}, f)
+        assert not is_plain({**file, **change})
+        assert Encoder(path).ids(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c", "en", "", "")] * 3, SCHEMA)
     assert sum(r.length for r in pack_documents(df).collect()) == 3 * 4
