@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import language, mixing, quality, secret_scan
 from ._common import materialise, table
-from .fingerprints import edited_fingerprints
+from .fingerprints import similar_fingerprints
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .suffix_dedup import suffix_dedup
@@ -23,7 +23,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), added_tokens=True)
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,11 +59,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return similar_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), added_tokens=True)
+    return token_counts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
