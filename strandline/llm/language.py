@@ -129,16 +129,17 @@ class ByteConv:
 
 def learn(documents: DataFrame, learnable: Column, per_language: int = 1000, sample_rows: int = 24_000, most_languages: int = 256, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> ByteConv | None:
     """A network from a bounded sample of documents with a language; None if there is none."""
-    key = F.xxhash64(F.lit(21), id_col)
-    rows = documents.filter(F.col(lang_col).isNotNull() & F.coalesce(learnable, F.lit(True))).select(F.col(id_col).alias("_i"), F.col(lang_col).cast("string").alias("_l"), key.alias("_h"))
-    # a count per language bounds the hashes to look at, so that ranking them stays small however many rows and tasks there are
-    counts = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(most_languages)
-    few = rows.join(F.broadcast(counts), "_l").filter((F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < 4.0 * per_language / F.col("_n")) | (F.col("_n") <= 8 * per_language))
-    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy(F.pmod("_h", F.lit(1 << 40)), "_i"))).filter(F.col("_r") <= per_language)
-    sample = ranked.orderBy("_r", "_h", "_l").limit(sample_rows).select("_i").distinct()
+    language, number = F.col(lang_col).cast("string"), F.xxhash64(F.lit(21), id_col)
     at = F.pmod(F.xxhash64(F.lit(22), id_col), F.greatest(F.length(text_col) - WINDOW, F.lit(1))).cast("int") + 1
-    found = documents.filter(F.col(lang_col).isNotNull()).join(F.broadcast(sample), F.col(id_col).eqNullSafe(F.col("_i"))).select(F.col(lang_col).cast("string").alias("l"), F.substring(F.col(text_col), at, F.lit(WINDOW)).alias("t"))
-    found = found.filter("length(t) > 0").limit(sample_rows).toArrow()
+    # own names only, so that no column of the documents can clash with them
+    rows = documents.filter(F.col(lang_col).isNotNull() & F.coalesce(learnable, F.lit(True))).select(language.alias("l"), F.pmod(number, F.lit(1 << 40)).alias("h"), F.substring(F.col(text_col), at, F.lit(WINDOW)).alias("t"))
+    rows = rows.filter("length(t) > 0")
+    # a count per language bounds the hashes to look at, so that ranking them stays small however many rows and tasks there are
+    counts = rows.groupBy(F.col("l").alias("l2")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l2").limit(most_languages)
+    few = rows.join(F.broadcast(counts), F.col("l") == F.col("l2")).filter((F.col("h") / float(1 << 40) < 4.0 * per_language / F.col("n")) | (F.col("n") <= 8 * per_language))
+    # equal ids share a hash: ties go by the text, so that the sample is the same however rows lie
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).filter(F.col("r") <= per_language)
+    found = ranked.orderBy("r", "h", "l", "t").limit(sample_rows).select("l", "t").toArrow()
     if not found.num_rows:
         return None
     pairs = sorted(zip(found.column("l").to_pylist(), found.column("t").to_pylist()))  # the same network however Spark returns the rows

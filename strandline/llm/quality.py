@@ -184,18 +184,20 @@ class AdditiveModel:
 def _feature_rows(batches):
     for batch in batches:
         x = features(*texts(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], ["label", *FEATURES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c) for c in x.T)], ["label", "h", *FEATURES])
 
 
 def learn(documents: DataFrame, labels: DataFrame, learnable: Column | None = None, sample_rows: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """A model of ``label_col`` from at most ``sample_rows`` labelled documents; ``learnable`` says which ids may be learned from."""
     small_batches(documents.sparkSession)
-    usable = labels.select(F.col(id_col).cast("long").alias("_l"), F.col(label_col).cast("int").alias("_y")).filter("_l is not null and _y in (0, 1)")
-    if learnable is not None:
-        usable = usable.withColumnRenamed("_l", id_col).filter(learnable).withColumnRenamed(id_col, "_l")
-    sample = hashed_sample(usable, sample_rows, F.xxhash64("_l"), "_l", "_y")
-    rows = documents.join(F.broadcast(sample), F.col(id_col) == F.col("_l")).select(F.col("_y").cast("double").alias("label"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_feature_rows, "label double, " + ", ".join(f"{f} double" for f in FEATURES)).limit(2 * sample_rows).toArrow()
+    usable = labels if learnable is None else labels.filter(learnable)
+    # own names only, so that no column of the documents can clash with them
+    usable = usable.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)").distinct()
+    sample = hashed_sample(usable, sample_rows, F.xxhash64("i"), "i", "y")
+    texts_ = documents.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
+    # ids that repeat give several rows: those of least hash of id, label and text count, as many as the sample has
+    rows = texts_.join(F.broadcast(sample), F.col("d") == F.col("i")).select(F.col("y").cast("double").alias("label"), "text", F.xxhash64("i", "y", "text").alias("h"))
+    found = rows.mapInArrow(_feature_rows, "label double, h long, " + ", ".join(f"{f} double" for f in FEATURES)).orderBy("h", *FEATURES).limit(2 * sample_rows).toArrow()
     y, x = found.column("label").to_numpy(), np.stack([found.column(f).to_numpy() for f in FEATURES], axis=1)
     order = np.lexsort((*x.T, y))  # the same model however Spark returns the rows
     return AdditiveModel().fit(x[order], y[order])

@@ -96,3 +96,75 @@ def test_pairs_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = quality.AdditiveModel().fit(x[:2000], y[:2000])
     assert (0, 1) in model.pairs and ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+
+
+CLASH = "doc_id long, text string, lang string, _i string, _l string, _h string, _n string, _r string, _y string, _t string, l string, h string, t string, i string, y string, d string, r string, n string"
+
+
+def clashing(rows, spark):
+    """(id, text, lang) with columns named like those the operators use themselves, rows repeated, ties, nulls and a very long text."""
+    rows = [*rows, *rows[:40], (rows[1][0], "another text of an id that repeats", rows[1][2]), (None, None, None), (7000, "the house and water " * 60_000, "en")]
+    return spark.createDataFrame([(*r, *("x" for _ in range(15))) for r in rows], CLASH), rows
+
+
+def test_languages_by_brute_force(spark, tmp_path):
+    """The whole query: every text's prediction from the plain layers, window by window."""
+    from strandline.llm import queries
+
+    df, rows = clashing([(i, t, lang) for i, t, lang, *_ in corpus(2, 120)], spark)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    held = language.held_out_fifth()
+    net = language.learn(df, ~held)
+    twin = language.learn(df.repartition(6).orderBy("lang"), ~held)
+    assert all(np.array_equal(net.p[k], twin.p[k]) for k in net.p)
+
+    def predicted(text):
+        raw = (text or "").encode()
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        total = np.zeros(len(net.languages))
+        for s in range(0, len(raw), language.WINDOW):
+            piece = raw[s : s + language.WINDOW]
+            e = net.p["E"][np.frombuffer(piece.ljust(language.WINDOW, b"\0"), np.uint8)]
+            parts = []
+            for w in language.WIDTHS:
+                patches = np.concatenate([e[k : language.WINDOW - w + 1 + k] for k in range(w)], axis=1)
+                parts.append(np.maximum((patches @ net.p[f"K{w}"] + net.p[f"b{w}"]).max(axis=0), 0))
+            z = np.concatenate(parts) @ net.p["W"] + net.p["c"]
+            total += len(piece) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        return net.languages[int(total.argmax())], float(total.max() / total.sum())
+
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in queries.op5_language(spark, str(tmp_path)).collect()), key=str)
+    import zlib
+
+    want = sorted(((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, *predicted(t)) for i, t, _ in rows), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4)
+
+
+def test_quality_by_brute_force(spark, tmp_path):
+    """The whole query: the model is that of the labelled texts, and every score the sum of its looked-up values."""
+    import zlib
+
+    from strandline.llm import queries
+
+    df, rows = clashing([(i, t if i % 3 else t.upper() + " ##!!" * 9, lang) for i, t, lang, *_ in corpus(5, 200)], spark)
+    labels = [(i, int(i % 3 > 0), 0, "z") for i in range(0, 200, 2)] + [(4, 1, 0, "z"), (5000, 1, 0, "z"), (None, 1, 0, "z"), (8, None, 0, "z")]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, i string").write.parquet(f"{tmp_path}/labels.parquet")
+    third = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    one = lambda t: quality.features(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
+    pairs = {(i, q) for i, q, _, _ in labels if i is not None and q is not None and not third(i)}
+    learned = [(float(q), one(t)) for i, t, _ in rows for j, q in pairs if i == j]
+    y, x = np.array([q for q, _ in learned]), np.array([f for _, f in learned])
+    order = np.lexsort((*x.T, y))
+    model = quality.AdditiveModel().fit(x[order], y[order])
+
+    def score(f):
+        z = model.base + sum(t[int(sum(c <= v for c in e))] for e, t, v in zip(model.edges, model.tables, f))
+        for (a, b), t in zip(model.pairs, model.pair_tables):
+            z += t[int(sum(c <= f[a] for c in model.coarse[a])), int(sum(c <= f[b] for c in model.coarse[b]))]
+        return 1 / (1 + np.exp(-z))
+
+    got = sorted(((r.doc_id, r.held_out, r.predicted, r.score) for r in queries.op6_quality(spark, str(tmp_path)).collect()), key=str)
+    want = sorted(((i, third(i), int(score(one(t)) >= 0.5), float(score(one(t)))) for i, t, _ in rows), key=str)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
