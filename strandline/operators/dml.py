@@ -60,15 +60,17 @@ def generated_key(table: TableDef) -> bool:
 
 
 def check_unique(rows: DataFrame, current: DataFrame | None, table: TableDef) -> None:
-    """No key twice in the batch, none that is there already (a semi join on the key alone)."""
+    """No key twice in the batch, none that is there already: one job over the keys alone."""
     keys = [V.USER, table.pk] if table.by_user and V.USER in rows.columns else [table.pk]
-    twice = rows.groupBy(*keys).count().filter("count > 1").select(table.pk).first()
-    if twice is not None:
-        raise ConstraintError(f"duplicate key in the batch: {table.full_name}.{table.pk} = {twice[0]}")
+    batch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if current is not None:
-        there = current.select(*keys).join(rows.select(*keys), keys, "left_semi").select(table.pk).first()
-        if there is not None:
-            raise ConstraintError(f"duplicate key: {table.full_name}.{table.pk} = {there[0]}")
+        batch = batch.join(current.select(*keys).withColumn("_old", F.lit(True)), keys, "left")
+    else:
+        batch = batch.withColumn("_old", F.lit(None).cast("boolean"))
+    bad = batch.filter((F.col("_n") > 1) | F.col("_old")).select(table.pk, "_n").first()
+    if bad is not None:
+        where = " in the batch" if bad["_n"] > 1 else ""
+        raise ConstraintError(f"duplicate key{where}: {table.full_name}.{table.pk} = {bad[0]}")
 
 
 def versioned(rows: DataFrame, table: TableDef, commit: int, user: str | None, deleted: bool = False, ms: int | None = None) -> DataFrame:

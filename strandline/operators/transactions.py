@@ -56,18 +56,19 @@ class Transaction:
         return out
 
     def over(self, base: DataFrame, table: TableDef, user: str | None) -> DataFrame:
-        """The table's rows with the staged ones on top."""
+        """The table's rows with the staged ones on top; of one user, or of all in one plan."""
         staged = self.mutations(table.full_name)
         if staged is None:
             return base
         if table.by_user and user is not None:
             staged = staged.filter(F.col(V.USER) == user)
-        columns = table.names()
-        laid = V.overlay(base.select(*columns), staged, table.pk, columns)
+        keys = [V.USER, table.pk] if table.by_user else [table.pk]
+        columns = [*table.names(), *([V.USER] if table.by_user else [])]
+        laid = V.overlay(base.select(*columns), staged, keys, columns)
         extra: dict[str, Column] = {V.SEQ: F.lit(None).cast("long"), V.COMMIT: F.lit(None).cast("long"), V.DELETED: F.lit(False)}
         for name, value in extra.items():
             laid = laid.withColumn(name, value)
-        return laid.withColumn(V.USER, F.lit(user)) if table.by_user else laid
+        return laid
 
     def folded(self, table: TableDef) -> tuple[DataFrame, DataFrame] | None:
         """What the commit writes: (rows, tombstones), one per key and user."""

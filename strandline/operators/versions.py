@@ -56,23 +56,26 @@ def count_current(log: DataFrame, pk: str, by_user: bool = False, snapshot: int
     return resolve(log.select(*dict.fromkeys(needed)), pk, by_user, snapshot).agg(F.count(F.lit(1)).alias("n"))
 
 
-def overlay(base: DataFrame, staged: DataFrame, pk: str, columns: list[str]) -> DataFrame:
+def overlay(base: DataFrame, staged: DataFrame, pk: str | list[str], columns: list[str]) -> DataFrame:
     """Read-your-writes: current rows ``base`` under a transaction's ``staged`` mutations.
 
-    ``staged`` holds pk, ``_op`` (insert, update, delete), ``_order`` and the columns, with ``_set``, the names that an update assigns. Mutations of a key are folded in order: a delete
-    removes what came before; an insert replaces; an update overwrites the columns it sets."""
-    later_break = Window.partitionBy(pk).orderBy(F.col("_order")).rowsBetween(1, Window.unboundedFollowing)
+    ``staged`` holds the key, ``_op`` (insert, update, delete), ``_order`` and the columns, with ``_set``, the names that an update assigns. Mutations of a key are folded in order: a delete
+    removes what came before; an insert replaces; an update overwrites the columns it sets. A key of user and primary key lays over the rows of all users at once."""
+    keys = [pk] if isinstance(pk, str) else list(pk)
+    later_break = Window.partitionBy(*keys).orderBy(F.col("_order")).rowsBetween(1, Window.unboundedFollowing)
     breaks = F.max(F.when(F.col("_op") != "update", 1).otherwise(0)).over(later_break)
     live = staged.withColumn("_cut", F.coalesce(breaks, F.lit(0))).filter("_cut = 0")
     touched = lambda c: F.when((F.col("_op") != "update") | F.array_contains("_set", F.lit(c)), F.col("_order"))
-    folded = live.groupBy(F.col(pk).alias("_pk")).agg(
-        *(F.max_by(F.struct(F.col(c).alias("v")), touched(c)).alias(f"_v_{c}") for c in columns if c != pk),
+    folded = live.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(
+        *(F.max_by(F.struct(F.col(c).alias("v")), touched(c)).alias(f"_v_{c}") for c in columns if c not in keys),
         F.max(F.when(F.col("_op") == "delete", 1).otherwise(0)).alias("_gone"),
         F.max(F.when(F.col("_op") == "insert", 1).otherwise(0)).alias("_new"),
     )
-    joined = base.join(folded, base[pk].eqNullSafe(folded["_pk"]), "full_outer")
-    present = F.col("_pk").isNull() | ((F.col("_gone") == 0) & ((F.col("_new") == 1) | base[pk].isNotNull()))
-    values = [F.coalesce(base[pk], F.col("_pk")).alias(pk) if c == pk else F.when(F.col(f"_v_{c}").isNotNull(), F.col(f"_v_{c}")["v"]).when(F.coalesce(F.col("_new"), F.lit(0)) == 1, F.lit(None)).otherwise(base[c]).alias(c) for c in columns]
+    same = [base[k].eqNullSafe(folded[f"_k_{k}"]) for k in keys]
+    joined = base.withColumn("_there", F.lit(True)).join(folded, same, "full_outer")
+    present = F.col("_gone").isNull() | ((F.col("_gone") == 0) & ((F.col("_new") == 1) | F.col("_there").isNotNull()))
+    key = lambda c: F.when(F.col("_there"), base[c]).otherwise(F.col(f"_k_{c}")).alias(c)
+    values = [key(c) if c in keys else F.when(F.col(f"_v_{c}").isNotNull(), F.col(f"_v_{c}")["v"]).when(F.coalesce(F.col("_new"), F.lit(0)) == 1, F.lit(None)).otherwise(base[c]).alias(c) for c in columns]
     return joined.filter(present).select(*values)
 
 

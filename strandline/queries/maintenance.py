@@ -11,6 +11,7 @@ from ..operators.transactions import TransactionError
 from ..plans.live_shape import live_parts
 from ..plans.tokens import SqlError
 from ..sources.catalog import CatalogError
+from ..sources.segments import decide
 from ..streaming import live
 from . import query, table
 from .statements import BASE, SHOW, engine, loaded
@@ -43,7 +44,7 @@ def s10(spark, d):
     s.insert("t", ids.filter("id >= 100"))
     log = s.engine.log(s.table_def("t"))
     assert len(log.choose(pk=7)) == 1 and len(log.choose()) == 2
-    return log.current(pk=7).select("id")
+    return s.sql("SELECT id FROM t WHERE id = 7")
 
 
 @query("s12_system_scan", "SELECT 'orders' AS table_name, 'SHARED' AS table_type")
@@ -126,10 +127,9 @@ def w11(spark, d):
     """A cold segment: zstd, sorted by the key, with a bloom filter on it."""
     s = loaded(spark, d)
     s.sql("STORAGE FLUSH TABLE orders")
-    path = s.sql("SELECT path FROM system.manifest").first()["path"]
-    names = s.engine.store.names(*path.split("/"))
-    read = spark.read.parquet(s.engine.store.uri(path))
-    return read.agg(F.count(F.lit(1)).alias("n")).withColumn("zstd", F.lit(all(".zstd." in n for n in names if n.endswith(".parquet"))))
+    paths = [r["path"] for r in s.sql("SELECT path FROM system.manifest").collect()]
+    read = spark.read.parquet(*(s.engine.store.uri(p) for p in paths))
+    return read.agg(F.count(F.lit(1)).alias("n")).withColumn("zstd", F.lit(all(".zstd." in p for p in paths)))
 
 
 @query("w14_json_result", "SELECT '7' AS id, 'BIGINT' AS kind FROM orders WHERE o_orderkey = 7")
@@ -376,7 +376,7 @@ def d20(spark, d):
 def k1(spark, d):
     s = loaded(spark, d)
     s.sql("STORAGE FLUSH ALL IN shop")
-    return s.sql("SELECT job_type, status FROM system.jobs").crossJoin(s.sql("SELECT tier FROM system.manifest"))
+    return s.sql("SELECT job_type, status FROM system.jobs").crossJoin(s.sql("SELECT DISTINCT tier FROM system.manifest"))
 
 
 @query("k2_flush_policy", "SELECT 'cold' AS tier")
@@ -452,6 +452,108 @@ def x7(spark, d):
     return s.sql(SHOW)
 
 
+@query("m2_snapshot_after_flush", BASE)
+def m2f(spark, d):
+    """An open transaction sees its snapshot, whatever is written, flushed and compacted meanwhile."""
+    s = loaded(spark, d)
+    t = s.engine.session(namespace="shop")
+    s.sql("BEGIN")
+    t.sql("UPDATE orders SET status = 'new', price = 0 WHERE id % 3 = 0; DELETE FROM orders WHERE id % 7 = 0; STORAGE FLUSH TABLE orders; UPDATE orders SET status = 'x' WHERE id % 2 = 0; STORAGE FLUSH TABLE orders; STORAGE COMPACT TABLE orders")
+    return s.sql(SHOW)
+
+
+@query("l8_update_after_flush", "SELECT 'update' AS op, o_orderkey AS id, o_totalprice AS old_price FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'delete', o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 5 = 1")
+def l8f(spark, d):
+    """A subscription gets updates as updates, with their old values, also after a flush and a compaction."""
+    s = loaded(spark, d)
+    s.sql("STORAGE FLUSH TABLE orders")
+    sub = s.subscribe("SELECT id, price FROM orders")
+    s.sql("UPDATE orders SET price = price + 1 WHERE id % 5 = 0; DELETE FROM orders WHERE id % 5 = 1; STORAGE FLUSH TABLE orders; STORAGE COMPACT TABLE orders")
+    return sub.poll().select("op", "id", F.col("old.price").alias("old_price"))
+
+
+@query("l1_out_of_order_commits", "SELECT 1 AS poll, 'update' AS op, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 2, 'insert', -o_orderkey FROM orders")
+def l1o(spark, d):
+    """A commit that was begun first and published last comes with the later poll."""
+    s = loaded(spark, d)
+    t = s.table_def("orders")
+    sub, log, commit = s.subscribe("SELECT id FROM orders"), s.engine.log(t), s.engine.next_commit()
+    slow = log.write_segments(dml.versioned(dml.prepared(s.read("orders").select((-F.col("id")).alias("id")), t, "root"), t, commit, None), "hot")
+    s.sql("UPDATE orders SET price = 0 WHERE id % 4 = 0")
+    first = sub.poll()
+    log.add(slow, commit)
+    return first.select(F.lit(1).alias("poll"), "op", "id").unionByName(sub.poll().select(F.lit(2).alias("poll"), "op", "id"))
+
+
+@query("k3_readers_during_compaction", BASE)
+def k3r(spark, d):
+    """A DataFrame that was planned before a flush and a compaction still reads its files."""
+    s = loaded(spark, d)
+    before = s.sql(SHOW)
+    s.sql("STORAGE FLUSH TABLE orders; DELETE FROM orders WHERE id % 2 = 1; STORAGE COMPACT TABLE orders")
+    return before
+
+
+@query("w7_decimal_keys", "SELECT true AS refused, count(*) AS n FROM orders")
+def w7d(spark, d):
+    """Decimal keys compare as numbers: a key that is there is refused, one between is not."""
+    s = engine(spark).session()
+    s.sql("CREATE SHARED TABLE t (id DECIMAL(12,2) PRIMARY KEY)")
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").cast("decimal(12,2)").alias("id"))
+    s.insert("t", keys.filter("id < 5 OR id >= 10"))
+    s.insert("t", keys.filter("id >= 5 AND id < 10"))
+    no = [refused(lambda k=k: s.sql(f"INSERT INTO t VALUES ({k})"), dml.ConstraintError) for k in (1, 5, 9, 10, 100)]
+    return s.sql("SELECT count(*) AS n FROM t").select(F.lit(all(no)).alias("refused"), "n")
+
+
+@query("m9_tables_together", "SELECT 0 AS before, 2 * count(*) AS after FROM orders")
+def m9t(spark, d):
+    """The tables of a transaction show together, when its record is written: not yet when all their segments are listed."""
+    s = loaded(spark, d)
+    s.sql("CREATE SHARED TABLE copy (id BIGINT PRIMARY KEY)")
+    logs = [s.engine.log(s.table_def(n)) for n in ("orders", "copy")]
+    ids, commit = s.read("orders").select((-F.col("id")).alias("id")), s.engine.next_commit()
+    for log in logs:
+        rows = dml.versioned(dml.prepared(ids, log.table, "root"), log.table, commit, None)
+        log.add(log.write_segments(rows, "hot"), commit, tx="both")
+    seen = lambda: s.sql("SELECT id FROM orders WHERE id < 0 UNION ALL SELECT id FROM copy WHERE id < 0").count()
+    before = seen()
+    decide(s.engine.store, "both")
+    return one(spark, before=before, after=seen()).select(F.col("before").cast("int").alias("before"), "after")
+
+
+@query("t2_publish_once", "SELECT count(*) AS n, count(*) - 1 AS last_offset FROM orders WHERE o_orderkey % 3 = 0")
+def t2o(spark, d):
+    """A commit whose writer stopped before it published is published by the next call, once."""
+    s = loaded(spark, d)
+    s.sql("CREATE TOPIC shop.c; ALTER TOPIC shop.c ADD SOURCE shop.orders ON UPDATE")
+    t, publish = s.table_def("orders"), s.publish
+    s.publish = lambda table: 0  # the writer stops here
+    s.sql("UPDATE orders SET price = 1 WHERE id % 3 = 0")
+    s.publish = publish
+    publish(t)
+    publish(t)
+    return s.engine.topics.messages("shop.c").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("last_offset"))
+
+
+@query("s5_point_lookup_sql", "SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def s5s(spark, d):
+    """A point read through SQL, over 20 flushed segments, opens one of them."""
+    s = engine(spark).session()
+    s.sql("CREATE NAMESPACE shop; USE shop; CREATE SHARED TABLE orders (id BIGINT PRIMARY KEY, cust BIGINT, status TEXT, price DOUBLE)")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    step = (high - low) // 20 + 1
+    s.insert("orders", rows)
+    log = s.engine.log(s.table_def("orders"))
+    hot = log.visible()
+    parts = [log.write_segments(log.read(hot).drop(V.TIER).filter((F.col("id") >= low + k * step) & (F.col("id") < low + (k + 1) * step)), "cold") for k in range(20)]
+    log.replace(hot, [x for p in parts for x in p])
+    found = s.sql("SELECT id, cust, status, price FROM orders WHERE id = $1", [high])
+    assert len(log.visible()) >= 20 and len(found.inputFiles()) == 1
+    return found
+
+
 @query("x8_real_stats", "SELECT count(*) AS cold FROM orders")
 def x8(spark, d):
     s = loaded(spark, d)

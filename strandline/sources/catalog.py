@@ -131,7 +131,7 @@ def new_table(namespace: str, name: str, kind: str, columns: list[ColumnDef], op
 class Catalog:
     """Objects by group and name. Every change is one file, replaced as a whole."""
 
-    GROUPS = ("namespaces", "tables", "storages", "users", "topics", "views", "jobs", "offsets", "exports")
+    GROUPS = ("namespaces", "tables", "storages", "users", "topics", "views", "jobs", "exports", "snapshots")
 
     def __init__(self, store: Store):
         self.store = store

@@ -77,9 +77,41 @@ class Store:
         to = other or self
         self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs(), self._path(*source), to._fs(), to._path(*target), False, self._conf)
 
+    def zipped(self, folder: list[str], target: list[str], suffix: str = ".parquet") -> int:
+        """A ZIP of the files below a folder whose names end so, copied stream by stream; returns how many."""
+        fs, top, n = self._fs(), self._path(*folder), 0
+        out = self._jvm.java.util.zip.ZipOutputStream(fs.create(self._path(*target), True))
+        try:
+            files = fs.listFiles(top, True)
+            while files.hasNext():
+                path = files.next().getPath()
+                if path.getName().endswith(suffix):
+                    out.putNextEntry(self._jvm.java.util.zip.ZipEntry(top.toUri().relativize(path.toUri()).getPath().split(f"/{folder[-1]}/")[-1]))
+                    stream = fs.open(path)
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                    stream.close()
+                    out.closeEntry()
+                    n += 1
+        finally:
+            out.close()
+        return n
+
     def delete_on_exit(self, *parts: str) -> None:
         """Remove a folder when the driver's JVM ends."""
         self._fs().deleteOnExit(self._path(*parts))
 
+    def swap(self, value: dict, version: int, *folder: str) -> bool:
+        """Make ``value`` the version after ``version`` of a folder's state; False if another writer was first."""
+        done = self.create(json.dumps(value), *folder, f"state-{version + 1:012d}.json")
+        if done:
+            for old in [n for n in self.names(*folder) if n.startswith("state-")][:-5]:
+                self.delete(*folder, old)
+        return done
+
+    def state(self, *folder: str) -> tuple[int, dict | None]:
+        """The newest version of a folder's state, and what it says."""
+        versions = [n for n in self.names(*folder) if n.startswith("state-")]
+        return (int(versions[-1][6:-5]), self.read_json(*folder, versions[-1])) if versions else (0, None)
+
     def size(self, *parts: str) -> int:
         return self._fs().getContentSummary(self._path(*parts)).getLength() if self.exists(*parts) else 0

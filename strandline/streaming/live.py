@@ -41,11 +41,10 @@ def last_rows(current: DataFrame, columns: list[str], n: int, where=None) -> Dat
     return out.select(*dict.fromkeys([*columns, V.SEQ])).orderBy(F.col(V.SEQ).desc()).limit(n).orderBy(V.SEQ)
 
 
-def pages(current: DataFrame, columns: list[str], size: int = DEFAULT_BATCH, where=None, until: int | None = None):
-    """The snapshot in batches, by the last _seq seen (no offsets are skipped over again)."""
-    since = None
+def pages(snapshot: DataFrame, size: int = DEFAULT_BATCH, since: int | None = None):
+    """A written snapshot in batches, by the last _seq seen (no offsets are skipped over again)."""
     while True:
-        rows = initial_rows(current, columns, where, since, until, size).collect()
+        rows = (snapshot if since is None else snapshot.filter(F.col(V.SEQ) > since)).orderBy(V.SEQ).limit(size + 1).collect()
         if not rows:
             return
         yield rows[:size]
@@ -54,6 +53,21 @@ def pages(current: DataFrame, columns: list[str], size: int = DEFAULT_BATCH, whe
         since = rows[size - 1][V.SEQ]
 
 
+def changes_between(log, after: int, upto: int, user: str | None = None) -> DataFrame:
+    """The change feed of the commits in (after, upto]: their keys come from the segments of those commits, the old values from the segments that can hold those keys."""
+    table = log.table
+    scoped = lambda df: df if user is None else df.filter(F.col(V.USER) == user)
+    keys = ([V.USER] if table.by_user else []) + [table.pk]
+    fresh = scoped(log.log(after_commit=after, upto_commit=upto, user=user)).filter((F.col(V.COMMIT) > after) & (F.col(V.COMMIT) <= upto))
+    if table.kind == "STREAM":
+        history = fresh
+    else:
+        low, high = fresh.agg(F.min(table.pk), F.max(table.pk)).first()
+        touched = fresh.select(*keys).distinct()
+        history = scoped(log.log(keys=None if low is None else (low, high), upto_commit=upto, user=user)).filter(F.col(V.COMMIT) <= upto).join(touched, keys, "left_semi")
+    return V.changes(history, table.pk, table.names(), table.by_user).filter(F.col(V.COMMIT) > after)
+
+
 def filtered_changes(feed: DataFrame, where=None, columns: list[str] | None = None, leaving: bool = True) -> DataFrame:
     """Changes whose row matches. An update that leaves the predicate becomes a delete (``leaving``), one that enters it an insert."""
     names = columns or [c for c in feed.columns if c not in ("op", "old", "changed", V.USER, V.SEQ, V.COMMIT, V.DELETED)]
@@ -71,14 +85,27 @@ def filtered_changes(feed: DataFrame, where=None, columns: list[str] | None = No
 
 
 class Subscription:
-    """A snapshot, then :meth:`poll` for what came later. Changes come at least once, in commit order."""
+    """A snapshot, then :meth:`poll` for what came later. Every commit comes, in the order of commits, and each once its rows are written; a poll that fails is repeated by the next.
+
+    The engine keeps the versions that a subscription needs until it stops, or is not polled for the time that the settings give."""
 
-    def __init__(self, current: Callable[[], DataFrame], log: Callable[[int | None], DataFrame], last: Callable[[], int], pk: str, names: list[str], columns: list[str], where=None, by_user: bool = False, options: dict | None = None, owner: str = "", query: str = ""):
+    def __init__(self, engine, table, columns: list[str], where=None, user: str | None = None, options: dict | None = None, owner: str = "", query: str = ""):
         self.id, self.owner, self.query, self.active = uuid.uuid4().hex, owner, query, True
-        self._current, self._log, self._last, self.pk, self.names, self.columns, self.where, self.by_user = current, log, last, pk, names, columns, where, by_user
+        self.engine, self.table, self.columns, self.where, self.user = engine, table, columns, where, user
         self.options = options or {}
         self.until = snapshot_boundary()
-        self._commit = last()
+        self._commit, self._polls = engine.log(table).last_commit(), 0
+        engine.hold(self.id, self._commit)
+
+    def _current(self) -> DataFrame:
+        rows = self.engine.log(self.table).current(user=self.user)
+        return rows if self.user is None else rows.filter(F.col(V.USER) == self.user)
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows as they are now, in files of the subscription's own."""
+        uri = self.engine.store.uri("_live", self.id, name)
+        df.write.parquet(uri)
+        return df.sparkSession.read.schema(df.schema).parquet(uri)
 
     def snapshot(self) -> DataFrame:
         n = self.options.get("last_rows")
@@ -88,21 +115,34 @@ class Subscription:
         return initial_rows(self._current(), self.columns, self.where, None if since is None else int(since), None, None)
 
     def batches(self):
-        return pages(self._current(), self.columns, int(self.options.get("batch_size", DEFAULT_BATCH)), self.where)
+        """The snapshot in batches: it is resolved, sorted and written once."""
+        yield from pages(self._written(self.snapshot(), f"snapshot-{uuid.uuid4().hex}"), int(self.options.get("batch_size", DEFAULT_BATCH)))
 
     def poll(self) -> DataFrame:
-        """The changes since the snapshot or the last poll: the keys come from segments of later commits alone, the old values from those keys' history."""
-        last = self._last()
-        keys = ([V.USER] if self.by_user else []) + [self.pk]
-        touched = self._log(self._commit).filter((F.col(V.COMMIT) > self._commit) & (F.col(V.COMMIT) <= last)).select(*keys).distinct()
-        history = self._log(None).filter(F.col(V.COMMIT) <= last).join(touched, keys, "left_semi")
-        feed = V.changes(history, self.pk, self.names, self.by_user).filter(F.col(V.COMMIT) > self._commit)
-        out = filtered_changes(feed, self.where).orderBy(V.COMMIT, V.SEQ)
-        self._commit = last
-        return out
+        """The changes since the snapshot or the last poll. Only segments of later commits, and those that can hold their keys, are read."""
+        if not self.active or not self.engine.held(self.id):
+            raise RuntimeError("the subscription has ended; subscribe again")
+        log = self.engine.log(self.table)
+        last = log.last_commit()
+        feed = changes_between(log, self._commit, last, self.user) if last > self._commit else None
+        out = filtered_changes(feed, self.where) if feed is not None else None
+        if out is None:
+            log = V.changes(log.read([]), self.table.pk, self.table.names(), self.table.by_user)
+            out = filtered_changes(log, self.where)
+        else:
+            out = self._written(out, f"poll-{self._polls:08d}-{uuid.uuid4().hex[:8]}")
+            for old in self.engine.store.names("_live", self.id):
+                if old.startswith("poll-") and old < f"poll-{self._polls - 8:08d}":
+                    self.engine.store.delete("_live", self.id, old)
+        self._polls += 1
+        self._commit = max(self._commit, last)
+        self.engine.hold(self.id, self._commit)
+        return out.orderBy(V.COMMIT, V.SEQ)
 
     def stop(self) -> None:
         self.active = False
+        self.engine.release(self.id)
+        self.engine.store.delete("_live", self.id)
 
 
 def log_stream(spark, path: str, schema) -> DataFrame:

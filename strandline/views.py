@@ -55,11 +55,12 @@ def _manifest(s):
 
 
 def _topics(s):
-    return [(t["name"], t["partitions"], json.dumps(t["next"]), json.dumps(t["sources"])) for t in s.catalog.all("topics")], "topic_id string, partitions int, next_offsets string, sources string"
+    return [(t["name"], t["partitions"], json.dumps(s.engine.topics.state(t["name"])["next"]), json.dumps(t["sources"])) for t in s.catalog.all("topics")], "topic_id string, partitions int, next_offsets string, sources string"
 
 
 def _topic_offsets(s):
-    return [(o["topic"], o["group"], int(p), n) for o in s.catalog.all("offsets") for p, n in o["next"].items()], "topic_id string, group_id string, partition_id int, next_offset long"
+    topics = s.engine.topics
+    return [(t["name"], g, p, n) for t in s.catalog.all("topics") for g in topics.groups(t["name"]) for p, n in topics.committed(t["name"], g).items()], "topic_id string, group_id string, partition_id int, next_offset long"
 
 
 def _stats(s):
