@@ -8,6 +8,7 @@ from .. import jobs, security
 from ..operators import dml, vector
 from ..operators import versions as V
 from ..operators.transactions import TransactionError
+from ..operators.vector_index import VectorIndex
 from ..plans.live_shape import live_parts
 from ..plans.tokens import SqlError
 from ..sources.catalog import CatalogError
@@ -220,6 +221,49 @@ def v4(spark, d):
     return vector.vector_search(s.read("v"), "e", q, 1, pk="vec_id").select("row_id")
 
 
+def _indexed(spark, d, metric: str):
+    s = engine(spark).session()
+    s.sql(f"CREATE SHARED TABLE v (vec_id BIGINT PRIMARY KEY, e EMBEDDING(64)); ALTER TABLE v CREATE VECTOR INDEX e USING {metric}")
+    s.insert("v", table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e")))
+    s.sql("STORAGE FLUSH TABLE v")
+    return s
+
+
+@query("v3_index_recall", "SELECT true AS recalled, true AS fewer_rows")
+def v3r(spark, d):
+    """Every vector whose id is divisible by 100 is searched for in the index: at least nine tenths of its ten true neighbours are found, in a part of the rows."""
+    s = _indexed(spark, d, "COSINE")
+    rows = s.read("v").select("vec_id", "e")
+    asked = rows.filter("vec_id % 100 = 0").collect()
+    index = VectorIndex(s.engine.log(s.table_def("v")), "e", "cosine")
+    hits = seen = 0
+    for r in asked:
+        near = index.candidates([float(x) for x in r["e"]])
+        found, true = ({x["vec_id"] for x in vector.nearest(df, "e", list(r["e"]), 10, "cosine", "vec_id").select("vec_id").collect()} for df in (near, rows))
+        hits += len(found & true)
+        seen += near.count()
+    return one(spark, recalled=hits >= 9 * len(asked), fewer_rows=seen < len(asked) * rows.count())
+
+
+@query("v4_indexed_search", "SELECT CAST(vec_id AS VARCHAR) AS row_id FROM embeddings WHERE vec_id = 11")
+def v4i(spark, d):
+    """A search through the index in SQL."""
+    s = _indexed(spark, d, "L2")
+    q = [float(x) for x in s.sql("SELECT e FROM v WHERE vec_id = 11").first()["e"]]
+    assert s.engine.log(s.table_def("v")).store.exists("default", "v", "index")
+    return s.sql(f"SELECT row_id FROM vector_search('default.v', 'e', '{q}', 1)")
+
+
+@query("v5_written_after_the_index", "SELECT '11' AS row_id UNION ALL SELECT '-1'")
+def v5(spark, d):
+    """Vectors written after the flush are found beside the index, changed ones at their new place and deleted ones not at all."""
+    s = _indexed(spark, d, "L2")
+    q = [float(x) for x in s.sql("SELECT e FROM v WHERE vec_id = 12").first()["e"]]
+    s.sql(f"DELETE FROM v WHERE vec_id = 12; UPDATE v SET e = '{q}' WHERE vec_id = 11; INSERT INTO v VALUES (-1, '{q}')")
+    found = s.sql(f"SELECT row_id, score FROM vector_search('default.v', 'e', '{q}', 2)")
+    return found.filter("score = 0").select("row_id")
+
+
 @query("m7_transaction_rules", "SELECT true AS ddl, true AS stream, true AS nested")
 def m7(spark, d):
     s = engine(spark).session()
@@ -472,13 +516,13 @@ def l8f(spark, d):
     return sub.poll().select("op", "id", F.col("old.price").alias("old_price"))
 
 
-@query("l1_out_of_order_commits", "SELECT 1 AS poll, 'update' AS op, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 2, 'insert', -o_orderkey FROM orders")
+@query("l1_out_of_order_commits", "SELECT 1 AS poll, 'update' AS op, o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT 2, 'insert', -1 - o_orderkey FROM orders")
 def l1o(spark, d):
     """A commit that was begun first and published last comes with the later poll."""
     s = loaded(spark, d)
     t = s.table_def("orders")
     sub, log, commit = s.subscribe("SELECT id FROM orders"), s.engine.log(t), s.engine.next_commit()
-    slow = log.write_segments(dml.versioned(dml.prepared(s.read("orders").select((-F.col("id")).alias("id")), t, "root"), t, commit, None), "hot")
+    slow = log.write_segments(dml.versioned(dml.prepared(s.read("orders").select((-1 - F.col("id")).alias("id")), t, "root"), t, commit, None), "hot")
     s.sql("UPDATE orders SET price = 0 WHERE id % 4 = 0")
     first = sub.poll()
     log.add(slow, commit)
@@ -512,7 +556,7 @@ def m9t(spark, d):
     s = loaded(spark, d)
     s.sql("CREATE SHARED TABLE copy (id BIGINT PRIMARY KEY)")
     logs = [s.engine.log(s.table_def(n)) for n in ("orders", "copy")]
-    ids, commit = s.read("orders").select((-F.col("id")).alias("id")), s.engine.next_commit()
+    ids, commit = s.read("orders").select((-1 - F.col("id")).alias("id")), s.engine.next_commit()
     for log in logs:
         rows = dml.versioned(dml.prepared(ids, log.table, "root"), log.table, commit, None)
         log.add(log.write_segments(rows, "hot"), commit, tx="both")
