@@ -598,6 +598,26 @@ def s5s(spark, d):
     return found
 
 
+@query("a12_manifest_count", "SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
+def a12m(spark, d):
+    """A count of merged rows that reads no row: after a compaction the manifest says it; what is written later is resolved."""
+    s = loaded(spark, d)
+    s.sql("STORAGE FLUSH TABLE orders; DELETE FROM orders WHERE id % 2 = 1; STORAGE COMPACT TABLE orders")
+    counted = s.sql("SELECT count(*) AS n FROM orders")
+    assert not counted.inputFiles()
+    return counted
+
+
+@query("t8_partition_choice", "SELECT true AS own, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0")
+def t8(spark, d):
+    """Messages of one partition at a time: its own offsets without gaps, and together all messages."""
+    s = loaded(spark, d)
+    s.sql("CREATE TOPIC shop.p PARTITIONS 3; ALTER TOPIC shop.p ADD SOURCE shop.orders ON UPDATE; UPDATE orders SET price = 0 WHERE id % 3 = 0")
+    parts = [s.engine.topics.consume("shop.p", None, None, 10**9, p) for p in range(3)]
+    own = all([(r["partition_id"], r["offset"]) for r in rows] == [(p, i) for i in range(len(rows))] for p, rows in enumerate(parts))
+    return one(spark, own=own, n=sum(map(len, parts)))
+
+
 @query("x8_real_stats", "SELECT count(*) AS cold FROM orders")
 def x8(spark, d):
     s = loaded(spark, d)

@@ -350,3 +350,77 @@ def test_transaction_publishes_by_operation(engine, root):
     assert sorted((r.op, r.key) for r in root.sql("CONSUME FROM app.t").collect()) == [("delete", "2"), ("insert", "10"), ("update", "1")]
     assert rows(root.sql("SELECT id FROM two")) == [(1,)] and not engine.store.exists("_transactions", "x")
     assert engine.store.names("_transactions") == []
+
+
+def test_running_job_is_killed(engine, root):
+    import threading
+    import time
+
+    failed = []
+
+    def work():
+        try:
+            engine.run_job("flush", "slow", lambda: root.spark.range(0, 10**13, 1, 8).selectExpr("max(hash(id, id * 7))").collect())
+        except Exception as e:
+            failed.append(e)
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    job = None
+    for _ in range(100):
+        job = next((j for j in engine.catalog.all("jobs") if j["target"] == "slow"), None)
+        if job:
+            break
+        time.sleep(0.1)
+    time.sleep(2)
+    root.sql(f"KILL JOB '{job['job_id']}'")
+    thread.join(60)
+    assert failed and not thread.is_alive() and engine.catalog.get("jobs", job["job_id"])["status"] == "cancelled"
+
+
+def test_json_comes_in_pieces(root):
+    import json
+
+    employees(root)
+    df = root.sql("SELECT id, name, _seq FROM emp")
+    whole = json.loads("".join(root.stream_json(df)))
+    assert whole == root.to_json(df) and [r[1] for r in whole["rows"]] == ["Alice", "Bob", "Charlie"]
+    assert json.loads("".join(root.stream_json(df.limit(0))))["rows"] == []
+
+
+def test_given_up_transactions_never_show(engine, root):
+    """Segments whose transaction has no record yet don't show and hold back polls; aborted ones never show."""
+    from strandline.operators import dml
+    from strandline.sources.segments import decide
+
+    employees(root)
+    table = engine.catalog.table("app.emp")
+    log, sub = engine.log(table), root.subscribe("SELECT id FROM emp")
+    row = root.spark.createDataFrame([(77, "x", "y", 1)], "id int, name string, dept string, salary int")
+    log.add(log.write_segments(dml.versioned(row, table, 1, None), "hot"), 1, tx="t1")
+    root.sql("UPDATE emp SET salary = 0 WHERE id = 1")
+    assert root.sql("SELECT id FROM emp WHERE id = 77").count() == 0 and sub.poll().count() == 0
+    assert decide(engine.store, "t1", False) is False and decide(engine.store, "t1") is False
+    assert root.sql("SELECT id FROM emp WHERE id = 77").count() == 0 and [r.id for r in sub.poll().collect()] == [1]
+
+
+def test_two_consumers_share_a_group(engine, root):
+    """Claims are stored: another engine of the same root goes on behind them, and acknowledgements hold there."""
+    employees(root)
+    root.sql("CREATE TOPIC app.q; ALTER TOPIC app.q ADD SOURCE app.emp ON UPDATE; UPDATE emp SET salary = 0 WHERE id > 0")
+    other = Engine(root.spark, engine.store.root)
+    a, b = (e.topics.consume("app.q", "g", limit=2) for e in (engine, other))
+    assert [r["offset"] for r in a] == [0, 1] and [r["offset"] for r in b] == [2]
+    other.topics.ack("app.q", "g", 0, 2)
+    assert engine.topics.consume("app.q", "g", now_ms=10**13) == [] and engine.topics.committed("app.q", "g") == {0: 3}
+
+
+def test_polls_that_fail_are_repeated(root, monkeypatch):
+    employees(root)
+    sub = root.subscribe("SELECT id FROM emp")
+    root.sql("DELETE FROM emp WHERE id = 2")
+    monkeypatch.setattr(sub, "_written", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        sub.poll()
+    monkeypatch.undo()
+    assert [(r.op, r.id) for r in sub.poll().collect()] == [("delete", 2)]

@@ -109,3 +109,32 @@ def test_watermarked_windows(spark, tmp_path):
 
 def test_errors_are_one_family():
     assert issubclass(CatalogError, ValueError) and issubclass(SqlError, ValueError)
+
+
+def test_key_ranges():
+    """Only conditions that must hold choose segments."""
+    r = lambda q, args=None: S.key_range(q, "id", args)
+    assert r("SELECT a FROM t WHERE id = 5") == (5, 5) and r("SELECT a FROM t x WHERE x.id = 5 AND b = 1 ORDER BY a") == (5, 5)
+    assert r("SELECT a FROM t WHERE 3 < id AND id <= 9 LIMIT 1") == (3, 9) and r("SELECT a FROM t WHERE id BETWEEN 2 AND 4 AND a > 1") == (2, 4)
+    assert r("SELECT a FROM t WHERE id IN (7, 3, 5)") == (3, 7) and r("SELECT a FROM t WHERE a = ? AND id = ?", [1, 8]) == (8, 8)
+    assert r("SELECT a FROM t WHERE id > 4") == (4, None) and r("SELECT a FROM t WHERE id = 'x'") == ("x", "x")
+    for q in ("SELECT a FROM t", "SELECT a FROM t WHERE id = 5 OR a = 1", "SELECT a FROM t WHERE NOT id = 5", "SELECT a FROM t WHERE (id = 5 OR a = 1)", "SELECT a FROM t WHERE id + 1 = 5", "SELECT a FROM t WHERE id <> 5", "SELECT a FROM t WHERE id NOT IN (1, 2)", "SELECT a FROM t WHERE id = b", "SELECT a FROM t WHERE id = -5", "SELECT a FROM t WHERE id = 1 UNION SELECT a FROM t", "SELECT a FROM t WHERE a IN (SELECT a FROM t WHERE id = 5)"):
+        assert r(q) is None, q
+
+
+def test_groups_of_ranges():
+    from strandline.sources.segments import overlapping
+
+    assert sorted(map(sorted, overlapping([(1, 3), (8, 9), (3, 5), (6, 7), (4, 4)]))) == [[0, 2, 4], [1], [3]]
+    assert overlapping([]) == [] and overlapping([(1, 2), (None, None)]) == [[0, 1]]
+
+
+def test_probes():
+    import numpy as np
+
+    from strandline.operators.vector_index import measured_probes
+
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(12, 8)) * 50
+    near = np.repeat(centers, 40, axis=0) + rng.normal(size=(480, 8))
+    assert measured_probes(rng.permutation(near), centers) == 1 and measured_probes(rng.normal(size=(400, 8)), rng.normal(size=(12, 8))) > 2
