@@ -3,12 +3,12 @@
 Documents are sets of five-word shingles; two link if their Jaccard similarity is at least ``threshold`` (0.8).
 
 1. Copies: documents with equal shingle sets are one class of copies (a 128-bit name of the set) and are never paired.
-2. Candidates: shingles have one order, from rare to frequent. Two sets of that similarity share one of the first n - ceil(threshold n) + 1 shingles of each (n: its size), so these
-   *prefixes* are the keys, and no pair is missed (:class:`Prefixes`). Which order it is changes the work only, never the result: it comes from counts in a bounded sample
-   (``order_rows`` documents, ``order_shingles`` shingles) and, for all others, from their names. Texts of one template differ in their rare shingles, so they share no key however many
-   there are, as long as less than ``threshold`` of their shingles is the template's.
-   A key is reduced with partial aggregation to its least and greatest class; keys with both equal are dropped. The others link their classes to the least one, and
-   the components of these stars are the candidate groups. Nothing lists the pairs of a key.
+2. Candidates: MinHash bands (40 of 6 values; a pair at 0.8 shares none with probability 5e-6). A key is reduced with partial aggregation to its least and greatest class; keys with both equal are
+   dropped. The others link their classes to the least one, and the components of these stars are the candidate groups. Nothing lists the pairs of a key.
+   Texts of one template, far below the threshold, can chain into one large group. A group of over ``split`` (8,192) classes is therefore split again, by exact prefixes (:class:`Prefixes`): in an order of all
+   shingles from rare to frequent, two sets of that similarity share one of the first n - ceil(threshold n) + 1 shingles of each (n: its size). Which order it is changes the work only, never the
+   result: it comes from counts in a bounded sample of those groups (about ``order_rows`` documents, ``order_shingles`` shingles) and, for all others, from their names. Texts of one template differ in
+   their rare shingles, so they fall apart however many there are, as long as less than ``threshold`` of their shingles is the template's.
 3. Pruning: the classes of a group are dealt to blocks of about ``block`` classes; each pair of blocks is a task's unit. There, the pairs that share a key and whose sizes allow the similarity are
    compared by the MinHash values that came along, in steps; after each step the pairs whose posterior probability (uniform prior) of reaching the threshold is below
    ``tolerance`` are dropped.
@@ -30,10 +30,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, hashed_sample, materialise, small_batches, texts
+from ._common import fresh, materialise, small_batches, texts
 from .components import components
 from .ranks import U64, mix64
 from .shingles import MinHash, shingles
@@ -64,7 +65,7 @@ def _signed(sets, n: int = VALUES) -> np.ndarray:
 
 
 class Prefixes:
-    """The keys of exact candidates: the rarest shingles of each set. ``common``: shingles that are frequent, ``counts``: how frequent; all others are rarer."""
+    """Keys of exact candidates: the rarest shingles of each set. ``common``: shingles that are frequent, ``counts``: how frequent; all others are rarer."""
 
     def __init__(self, common: np.ndarray, counts: np.ndarray, threshold: float):
         order = np.argsort(common)
@@ -96,8 +97,9 @@ class Bands:
     def __init__(self, values: int, bands: int, rows: int, bits: int = 32):
         self.values, self.bands, self.rows, self.bits = values, bands, rows, bits
 
-    def of(self, sets: list[np.ndarray]) -> list[np.ndarray]:
-        sign = _signed(sets, self.values) >> np.uint32(32 - self.bits)
+    def of(self, sets: list[np.ndarray], sign: np.ndarray | None = None) -> list[np.ndarray]:
+        """The keys of each set; ``sign``: their signatures of ``values`` values, if they are known."""
+        sign = (_signed(sets, self.values) if sign is None else sign) >> np.uint32(32 - self.bits)
         out = np.zeros((len(sign), self.bands), U64)
         parts = sign[:, : self.bands * self.rows].reshape(len(sign), self.bands, self.rows).astype(U64)
         for r in range(self.rows):
@@ -106,6 +108,26 @@ class Bands:
         return [row if len(s) else row[:0] for row, s in zip(out, sets)]
 
 
+#: The bands of the join's own signatures.
+BANDS = Bands(VALUES, 40, 6)
+
+
+def _packed_rows(batches):
+    """Texts as zstd, so that the shuffle that looks for the members' texts writes less."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        data, bounds = texts(batch.column(2))
+        packed = [press.compress(data[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "k2", "z"])
+
+
+def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of packed texts."""
+    press = zstandard.ZstdDecompressor()
+    raw = [press.decompress(z.as_buffer()) for z in col]
+    return np.frombuffer(b"".join(raw), np.uint8), _bounds(raw)
+
+
 def _signed_rows(keys):
     def rows(batches):
         for batch in batches:
@@ -119,27 +141,49 @@ def _signed_rows(keys):
 def _member_rows(keys):
     def rows(batches):
         for batch in batches:
-            sets = _sets(*texts(batch.column(1)))
-            sign = [x.tobytes() for x in _signed(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists(keys.of(sets)), pa.array(sign, pa.binary())], ["node", "sets", "keys", "sign"])
+            sets = _sets(*_unpacked(batch.column(1)))
+            sign = _signed(sets)
+            shared = keys.of(sets, sign if keys.values == VALUES else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists(shared), pa.array([x.tobytes() for x in sign], pa.binary())], ["node", "sets", "keys", "sign"])
 
     return rows
 
 
 def _shingle_rows(batches):
     for batch in batches:
-        sets = _sets(*texts(batch.column(0)))
+        sets = _sets(*_unpacked(batch.column(0)))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["s"])
 
 
-def shingle_order(documents: DataFrame, threshold: float, rows: int = 20_000, most: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> Prefixes:
-    """An order of all shingles, from the counts of the ``most`` most frequent ones among a sample of ``rows`` documents."""
-    sample = hashed_sample(documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), rows, F.xxhash64(F.lit(31), "i"), "i", "t")
-    counts = sample.select("t").mapInArrow(_shingle_rows, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+def shingle_order(texts_: DataFrame, threshold: float, rows: int = 20_000, most: int = 500_000) -> Prefixes:
+    """An order of all shingles, from the counts of the ``most`` most frequent ones among about ``rows`` of the packed texts (columns id, z), by hash."""
+    count = texts_.count()
+    part = F.pmod(F.xxhash64(F.lit(31), "id"), F.lit(1 << 40)) / float(1 << 40)
+    sample = texts_.filter(part < rows / max(count, 1)).select("z")
+    counts = sample.mapInArrow(_shingle_rows, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = counts.orderBy(F.desc("n"), "s").limit(most).toArrow()
     return Prefixes(found.column("s").to_numpy().astype(np.int64).view(U64), found.column("n").to_numpy().astype(np.int64), threshold)
 
 
+def _prefix_rows(order: Prefixes):
+    def rows(batches):
+        for batch in batches:
+            keys = order.of(_sets(*_unpacked(batch.column(2))))
+            size = np.array([len(k) for k in keys], np.int64)
+            at = np.repeat(np.arange(len(keys)), size)
+            group = batch.column(1).to_numpy().astype(np.int64)[at].view(U64)  # groups are split apart
+            flat = mix64((np.concatenate(keys) if len(keys) else np.zeros(0, U64)) ^ mix64(group))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(flat.view(np.int64))], ["c1", "key"])
+
+    return rows
+
+
+def star_groups(keyed: DataFrame) -> DataFrame:
+    """(id, component): the groups of classes that share keys, from (c1, key)."""
+    shared = keyed.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a <> b").select(fresh("key").alias("key"), "a")
+    return materialise(components(keyed.join(shared.hint("merge"), "key").filter("c1 <> a").select(F.col("c1").alias("u"), F.col("a").alias("v"))))
+
+
 @lru_cache(maxsize=8)
 def least_matches(total: int, step: int, threshold: float, tolerance: float) -> tuple[int, ...]:
     """After each step: the fewest matches with which P(J >= threshold | matches), uniform prior, is at least ``tolerance``."""
@@ -300,23 +344,28 @@ def _unit_rows(threshold: float, tolerance: float):
 class Joined:
     """The signed rows (doc_id, k2, c1, c2), the classes with candidates (``members``), and their links and groups. ``keys``: what candidates share."""
 
-    def __init__(self, documents: DataFrame, keys, threshold: float, tolerance: float, block: int, id_col: str, text_col: str):
+    def __init__(self, documents: DataFrame, keys: Bands, threshold: float, tolerance: float, block: int, id_col: str, text_col: str, order_rows: int = 20_000, order_shingles: int = 500_000, split: int = 8192):
         small_batches(documents.sparkSession)
         docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"), F.col(text_col).alias("text"))
         self.rows = materialise(docs.mapInArrow(_signed_rows(keys), SIGNED))
+        packed = docs.mapInArrow(_packed_rows, "doc_id long, k2 long, z binary")
         self.classes = self.rows.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "k2")).alias("one"))
         # a key that two classes share by half of their name only makes a group larger
-        keyed = self.rows.select("c1", F.explode("keys").alias("key"))
-        shared = keyed.groupBy("key").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).filter("a <> b").select(fresh("key").alias("key"), "a")
-        stars = keyed.join(shared.hint("merge"), "key").filter("c1 <> a").select(F.col("c1").alias("u"), F.col("a").alias("v"))
-        near = materialise(components(stars))
+        near = star_groups(self.rows.select("c1", F.explode("keys").alias("key")))
+        large = materialise(near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > split).select("component").hint("merge"), "component").select("id", "component"))
+        if large.take(1):
+            one = large.join(self.classes.select("c1", "one"), F.col("c1") == F.col("id")).select("id", "component", F.col("one.doc_id").alias("e1"), F.col("one.k2").alias("e2"))
+            held = materialise(packed.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2"))).select("id", "component", "z"))
+            order = shingle_order(held, threshold, order_rows, order_shingles)
+            split = star_groups(held.mapInArrow(_prefix_rows(order), "c1 long, key long"))
+            near = near.join(large.select("component").distinct().hint("merge"), "component", "left_anti").select("id", "component").unionAll(split.select("id", "component"))
         parts = near.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
         members = near.join(parts, "component").join(self.classes, F.col("c1") == F.col("id"))
         # nodes have numbers of their own, so that no two classes share one; they are written once
         members = members.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "component", "n", "parts", F.col("one.doc_id").alias("e1"), F.col("one.k2").alias("e2"))
         self.members = materialise(members.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "c1", "c2"), "parts").cast("int")))
-        chosen = docs.join(self.members.select("id", "e1", "e2").hint("merge"), F.col("doc_id").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
-        held = materialise(chosen.select(F.col("id").alias("node"), "text").mapInArrow(_member_rows(keys), MEMBER))
+        chosen = packed.join(self.members.select("id", "e1", "e2").hint("merge"), F.col("doc_id").eqNullSafe(F.col("e1")) & (F.col("k2") == F.col("e2")))
+        held = materialise(chosen.select(F.col("id").alias("node"), "z").mapInArrow(_member_rows(keys), MEMBER))
         units = held.join(self.members.hint("merge"), F.col("node") == F.col("id")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         units = units.select("component", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "node", "n", "block", "sets", "keys", "sign")
         units = units.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
@@ -334,22 +383,16 @@ class Joined:
         return self.rows.join(by_class.hint("merge"), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("doc_id", "k2", "class_id", "n_links", "group_id")
 
 
-def _joined(documents: DataFrame, threshold: float, tolerance: float, block: int, order_rows: int, order_shingles: int, id_col: str, text_col: str) -> Joined:
-    small_batches(documents.sparkSession)
-    keys = shingle_order(documents, threshold, order_rows, order_shingles, id_col, text_col)
-    return Joined(documents, keys, threshold, tolerance, block, id_col, text_col)
-
-
-def jaccard_join(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 512, order_rows: int = 20_000, order_shingles: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 512, order_rows: int = 20_000, order_shingles: int = 500_000, split: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (its near-duplicate group), n_links (other documents linked, copies included), copy_of (documents with an equal
     shingle set), kept (one id per group)."""
-    rows = _joined(documents, threshold, tolerance, block, order_rows, order_shingles, id_col, text_col).result()
+    rows = Joined(documents, BANDS, threshold, tolerance, block, id_col, text_col, order_rows, order_shingles, split).result()
     return rows.select("doc_id", F.col("group_id").alias("class_id"), "n_links", F.col("class_id").alias("copy_of"), F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept"))
 
 
-def near_dedup(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 512, order_rows: int = 20_000, order_shingles: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(documents: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, block: int = 512, order_rows: int = 20_000, order_shingles: int = 500_000, split: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with one row of each group: that of the least id. Documents without words stay, once per group as well."""
-    rows = _joined(documents, threshold, tolerance, block, order_rows, order_shingles, id_col, text_col).result()
+    rows = Joined(documents, BANDS, threshold, tolerance, block, id_col, text_col, order_rows, order_shingles, split).result()
     keep = rows.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(F.min(F.struct("doc_id", "k2")).alias("one"), F.count(F.lit(1)).alias("_n"))
     # groups of null ids alone share the null group: each text of theirs stays once
     nulls = rows.filter("group_id is null").select(F.col("doc_id").alias("_e1"), F.col("k2").alias("_e2"), F.lit(2).cast("long").alias("_n")).distinct()

@@ -73,7 +73,7 @@ def test_exact_whatever_the_order(spark):
     docs = corpus(6)
     want = brute(docs)
     for options in ({"order_rows": 5}, {"order_shingles": 3}, {"order_rows": 1000}):
-        got = jaccard_join(frame(spark, docs), **options).collect()
+        got = jaccard_join(frame(spark, docs), block=8, split=4, **options).collect()
         assert sorted(((r.doc_id, r.copy_of, r.n_links, r.class_id) for r in got), key=str) == want
 
 
@@ -99,16 +99,15 @@ def templates(n, seed=4):
 
 @pytest.mark.parametrize("n", [100, 400])
 def test_templates_are_no_candidates(spark, n):
-    """Any number of texts that share 0.4 gives no candidate at all, so the work grows with the texts."""
-    from strandline.llm.jaccard_join import Joined, shingle_order
+    """Any number of texts that share 0.4 falls apart into no candidates at all, so the work grows with the texts."""
+    from strandline.llm.jaccard_join import BANDS, Joined
 
     docs = templates(n)
     a, b = shingle_set(docs[0][1]), shingle_set(docs[1][1])
     assert 0.35 < len(a & b) / len(a | b) < 0.45
-    df = frame(spark, docs)
-    assert Joined(df, shingle_order(df, 0.8), 0.8, 1e-9, 512, "doc_id", "text").members.count() == 0
+    assert Joined(frame(spark, docs), BANDS, 0.8, 1e-9, 16, "doc_id", "text", split=64).members.count() == 0
     docs += [(5000, docs[0][1] + " end"), (5001, docs[0][1] + " other")]
-    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join(frame(spark, docs)).collect()}
+    got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard_join(frame(spark, docs), block=16, split=64).collect()}
     assert got[0] == got[5000] == got[5001] == (2, 0) and got[1] == (0, 1)
 
 
