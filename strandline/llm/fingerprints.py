@@ -30,10 +30,12 @@ from ._common import materialise, small_batches
 from .jaccard_join import Bands, Joined
 from .shingles import MinHash, shingles
 
-RESULT = "doc_id long, k2 long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, similar_id long, n_similar long"
 
 #: Sampled ids for each range.
 SAMPLED = 20
+#: Kinds of rows in the order of a text's rows: its group, the text, and the first text of the next range.
+GROUP, TEXT, HELPER = 0, 1, 2
 
 
 def signatures(raw: list[bytes], n: int) -> np.ndarray:
@@ -73,17 +75,15 @@ def similar_documents(documents: DataFrame, n: int = 128, bands: int = 25, rows:
 
 def similar_fingerprints(documents: DataFrame, n: int = 128, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of :func:`edited_fingerprints` with similar_id and n_similar."""
-    rows = materialise(_edited(documents, n, id_col=id_col, text_col=text_col, **options))
     # equal rows share their group
-    groups = similar_documents(documents, n, threshold=threshold, id_col=id_col, text_col=text_col).distinct()
-    groups = groups.select(F.col("doc_id").alias("d"), F.col("k2").alias("t2"), "similar_id", "n_similar").hint("merge")
-    return rows.join(groups, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k2") == F.col("t2"))).drop("d", "k2", "t2")
+    groups = materialise(similar_documents(documents, n, threshold=threshold, id_col=id_col, text_col=text_col).distinct())
+    return _edited(documents, n, id_col=id_col, text_col=text_col, groups=groups, **options)
 
 
 def _edited_rows(n: int):
     names = [f.split(" ")[0] for f in RESULT.split(", ")]
 
-    def made(ids, keys, own, following):
+    def made(ids, own, following, groups):
         """Rows for texts ``own``, each followed by ``following``."""
         edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(own, following)]
         raw = [e.encode() for e in edited]
@@ -91,33 +91,40 @@ def _edited_rows(n: int):
         other = signatures(raw, n)
         sha = [hashlib.sha256(b).hexdigest() for b in raw]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(sha), pa.array([s.tobytes().hex() for s in mine[:-1]]), pa.array([s.tobytes().hex() for s in other]), pa.array(likeness(mine[:-1], other)), pa.array(likeness(mine[:-1], mine[1:]))],
+            [
+                pa.array(ids, pa.int64()), pa.array([len(t) for t in own], pa.int64()), pa.array(sha), pa.array([s.tobytes().hex() for s in mine[:-1]]), pa.array([s.tobytes().hex() for s in other]),
+                pa.array(likeness(mine[:-1], other)), pa.array(likeness(mine[:-1], mine[1:])), pa.array([g[0] for g in groups], pa.int64()), pa.array([g[1] for g in groups], pa.int64()),
+            ],
             names,
-        )
+        )
 
     def rows(batches):
-        held = None  # the last row, which waits for its next: range, id, key, text
+        held = None  # the last row, which waits for its next: range, id, text, group
+        group = (None, None)  # of the rows that come: groups lie before their documents
         for batch in batches:
-            ids, keys, own, following, at = [], [], [], [], 0
-            for part, doc_id, key, text, helper in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            ids, own, following, groups, at = [], [], [], [], 0
+            for part, doc_id, text, kind, similar_id, n_similar in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if kind == GROUP:
+                    group = (similar_id, n_similar)
+                    continue
                 if held is not None and held[0] == part:
                     ids.append(held[1])
-                    keys.append(held[2])
-                    own.append(held[3])
+                    own.append(held[2])
+                    groups.append(held[3])
                     following.append(text or "")
-                    at += len(text or "") + len(held[3])
-                held = None if helper else (part, doc_id, key, text or "")
+                    at += len(text or "") + len(held[2])
+                held = None if kind == HELPER else (part, doc_id, text or "", group)
                 if at > 4_000_000:
-                    yield from runs(ids, keys, own, following)
-                    ids, keys, own, following, at = [], [], [], [], 0
-            yield from runs(ids, keys, own, following)
+                    yield from runs(ids, own, following, groups)
+                    ids, own, following, groups, at = [], [], [], [], 0
+            yield from runs(ids, own, following, groups)
 
-    def runs(ids, keys, own, following):
+    def runs(ids, own, following, groups):
         """Stretches in which each text follows the one before."""
         start = 0
         for i in range(1, len(ids) + 1):
             if i == len(ids) or following[i - 1] is not own[i]:
-                yield made(ids[start:i], keys[start:i], own[start:i], following[start:i])
+                yield made(ids[start:i], own[start:i], following[start:i], groups[start:i])
                 start = i
 
     return rows
@@ -134,7 +141,7 @@ def range_of(ids: Column, cuts: list[int]) -> Column:
     return F.when(ids.isNull(), len(cuts)).when(at == 0, 0).otherwise((at - 1) * wide + within).cast("int")
 
 
-def _edited(documents: DataFrame, n: int = 128, rows_in_range: int = 2000, most_ranges: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _edited(documents: DataFrame, n: int = 128, rows_in_range: int = 2000, most_ranges: int = 100_000, id_col: str = "doc_id", text_col: str = "text", groups: DataFrame | None = None) -> DataFrame:
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"), F.col(text_col).alias("text"))
@@ -152,11 +159,15 @@ def _edited(documents: DataFrame, n: int = 128, rows_in_range: int = 2000, most_
     wanted = spark.createDataFrame(before, "part int, head long")
     order = F.struct(F.col("k2"), F.col("text"))
     helpers = docs.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part", "doc_id").agg(F.min_by("text", order).alias("text"))
-    both = docs.select(part.alias("part"), "doc_id", "k2", "text", F.lit(False).alias("helper")).unionAll(helpers.select("part", "doc_id", F.lit(0).cast("long"), "text", F.lit(True)))
-    sorted_rows = both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "helper", F.col("doc_id").asc_nulls_last(), "k2", "text")
-    return sorted_rows.mapInArrow(_edited_rows(n), RESULT)
+    none = F.lit(None).cast("long")
+    both = docs.select(part.alias("part"), "doc_id", "k2", "text", F.lit(TEXT).alias("kind"), none.alias("similar_id"), none.alias("n_similar"))
+    both = both.unionAll(helpers.select("part", "doc_id", F.lit(0).cast("long"), "text", F.lit(HELPER), none, none))
+    if groups is not None:  # they travel as rows before their documents, so that nothing is joined to the texts or their fingerprints
+        both = both.unionAll(groups.select(part.alias("part"), "doc_id", "k2", F.lit(None).cast("string"), F.lit(GROUP), "similar_id", "n_similar"))
+    sorted_rows = both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("kind") == HELPER, F.col("doc_id").asc_nulls_last(), "k2", "kind", "text")
+    return sorted_rows.select("part", "doc_id", "text", "kind", "similar_id", "n_similar").mapInArrow(_edited_rows(n), RESULT)
 
 
 def edited_fingerprints(documents: DataFrame, n: int = 128, rows_in_range: int = 2000, most_ranges: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, see RESULT and the module's text."""
-    return _edited(documents, n, rows_in_range, most_ranges, id_col, text_col).drop("k2")
+    return _edited(documents, n, rows_in_range, most_ranges, id_col, text_col).drop("similar_id", "n_similar")
