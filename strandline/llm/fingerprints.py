@@ -69,14 +69,17 @@ def similar_documents(documents: DataFrame, n: int = 128, bands: int = 25, rows:
     """doc_id, k2 (hash of the text), similar_id (the least id of the near-duplicate group) and n_similar (other documents linked, copies included) of every row."""
     if bands * rows > n:
         raise ValueError("the bands need more values than a fingerprint has")
-    found = Joined(documents, Bands(n, bands, rows, 16), threshold, tolerance, block, id_col, text_col).result()
-    return found.select("doc_id", "k2", F.col("group_id").alias("similar_id"), F.col("n_links").alias("n_similar"))
+    joined = Joined(documents, Bands(n, bands, rows, 16), threshold, tolerance, block, id_col, text_col)
+    # written here, so that all that led to it goes before the result is used
+    found = materialise(joined.result().select("doc_id", "k2", F.col("group_id").alias("similar_id"), F.col("n_links").alias("n_similar")))
+    joined.drop()
+    return found
 
 
 def similar_fingerprints(documents: DataFrame, n: int = 128, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of :func:`edited_fingerprints` with similar_id and n_similar."""
     # equal rows share their group
-    groups = materialise(similar_documents(documents, n, threshold=threshold, id_col=id_col, text_col=text_col).distinct())
+    groups = similar_documents(documents, n, threshold=threshold, id_col=id_col, text_col=text_col).distinct()
     return _edited(documents, n, id_col=id_col, text_col=text_col, groups=groups, **options)
 
 

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, materialise, small_batches, texts
+from ._common import drop_written, fresh, materialise, small_batches, texts
 from .components import components
 from .ranks import U64, mix64
 from .shingles import MinHash, shingles
@@ -370,14 +370,22 @@ class Joined:
         units = units.select("component", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "node", "n", "block", "sets", "keys", "sign")
         units = units.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
         found = materialise(units.mapInArrow(_unit_rows(threshold, tolerance), FOUND))
+        drop_written(held)
+        self._made = [self.rows, self.members, found]
         self.links = found.groupBy("node").agg(F.sum("weight").alias("linked"))
         self.groups = components(found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v"))).select(F.col("id").alias("member"), F.col("component").alias("g"))
 
+    def drop(self) -> None:
+        """Remove what was written, once the result is."""
+        for df in self._made:
+            drop_written(df)
+
     def result(self) -> DataFrame:
         """doc_id, k2, class_id, n_links, group_id."""
         linked = self.members.select("id", F.col("c1").alias("m1"), F.col("c2").alias("m2")).join(self.links, F.col("id") == F.col("node")).join(self.groups, F.col("id") == F.col("member"), "left").select("m1", "m2", "linked", "g")
         by_class = self.classes.join(linked, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")), "left")
         by_class = materialise(by_class.select("c1", "c2", "class_id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "g"))
+        self._made.append(by_class)
         heads = by_class.filter("g is not null").groupBy("g").agg(F.min("class_id").alias("head")).select(F.col("g").alias("g2"), "head")
         by_class = by_class.join(heads, F.col("g") == F.col("g2"), "left").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "class_id", "n_links", F.when(F.col("g").isNotNull(), F.col("head")).otherwise(F.col("class_id")).alias("group_id"))
         return self.rows.join(by_class.hint("merge"), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select("doc_id", "k2", "class_id", "n_links", "group_id")
