@@ -63,7 +63,7 @@ def test_sections_against_brute_force(spark, rule):
 
 def test_lines(spark):
     rng = random.Random(8)
-    rows = [(i, text(rng, 50)) for i in range(20)] + [(100, None), (101, ""), (102, "\n"), (3, "a\nb"), (3, "a\nb"), (5, "a <|endoftext|> b\nc"), (6, "a" + " " * 1_200_000 + "b"), (None, "x" * 100_000 + "\n" + "y " * 50_000)]
+    rows = [(i, text(rng, 50)) for i in range(20)] + [(100, None), (101, ""), (102, "\n"), (3, "a\nb"), (3, "a\nb"), (205, "a <|endoftext|> b\nc"), (206, "a" + " " * 1_200_000 + "b"), (None, "x" * 100_000 + "\n" + "y " * 50_000)]
     got = token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     tok = Tokenizer.from_file(vocab_path())
     for i, t in rows:
