@@ -122,9 +122,19 @@ def j7(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
+def not_in(rows, column: str, values):
+    """The ``rows`` for which ``column NOT IN (values)`` is true: all if there are no values, none if one of them is null, else those of a known key that none equals.
+
+    Spark's own plan of NOT IN broadcasts all values whatever their number. Here the distinct ones are joined by their key, and one row says whether there are any and whether one is null."""
+    values = values.toDF("_value")
+    said = values.agg(F.count(F.lit(1)).alias("_n"), F.count("_value").alias("_known"))
+    left = rows.join(values.distinct(), F.col(column) == F.col("_value"), "left_anti").crossJoin(F.broadcast(said))
+    return left.filter((F.col("_n") == 0) | (F.col(column).isNotNull() & (F.col("_n") == F.col("_known")))).select(*rows.columns)
+
+
 @query("j7_not_in", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
 def j7n(spark, d):
-    return spark_sql(spark, d, "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 10)", "part", "lineitem")
+    return not_in(table(spark, d, "part").select("p_partkey"), "p_partkey", table(spark, d, "lineitem").filter("l_quantity > 10").select("l_partkey"))
 
 
 @query("j8_derived_table", "SELECT c_custkey, t.n FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t ON t.o_custkey = c_custkey WHERE t.n > 12")

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -62,3 +63,27 @@ def test_flushed_vectors_hold_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(maintenance.vector, "vector_search", lambda df, *a, **b: seen.append(df) or real(df, *a, **b))
     assert [r.row_id for r in catalogue.queries()["v4_flushed_vectors"](spark, D).collect()] == ["11"]
     assert seen[0].count() == spark.read.parquet(f"{D}/embeddings.parquet").count()
+
+
+def test_not_in_broadcasts_no_values(spark):
+    """However many values there are: with Spark's broadcasts off only the row that counts them is one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["j7_not_in"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan and re.search(r"SortMergeJoin.*LeftAnti", plan)
+
+
+@pytest.mark.parametrize("condition", ["l_quantity > 10", "l_quantity > 10 AND l_partkey IS NOT NULL", "l_quantity > 99"])
+def test_not_in_follows_nulls(spark, tmp_path, condition):
+    from strandline.queries.relational import not_in
+
+    spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 11.0), (1, 12.0), (3, 9.0), (2, None), (None, 11.0)], "l_partkey bigint, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    part, lineitem = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("part", "lineitem"))
+    got = not_in(part, "p_partkey", lineitem.filter(condition).select("l_partkey")).collect()
+    want = duckdb.sql(f"SELECT p_partkey FROM '{tmp_path}/part.parquet/*.parquet' WHERE p_partkey NOT IN (SELECT l_partkey FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE {condition})").fetchall()
+    assert sorted(map(str, got)) == sorted(f"Row(p_partkey={k})" for (k,) in want)
+    assert len(want) == {"l_quantity > 10": 0, "l_quantity > 99": 5}.get(condition, 3)
