@@ -57,15 +57,20 @@ def routed(rows: DataFrame, topic: str, partitions: int, key: Column, body: Colu
     return out.select(F.lit(topic).alias("topic_id"), "partition_id", (start + place).cast("long").alias("offset"), F.col("_key").alias("key"), F.col("_body").alias("payload"), when.alias("timestamp_ms"), F.col("_user").alias("user_id"), F.col("_op").alias("op"))
 
 
-def consume(messages: DataFrame, start: dict[int, int] | int, limit: int) -> DataFrame:
-    """Messages from the start offsets on, by partition and offset."""
+def since(messages: DataFrame, start: dict[int, int] | int) -> DataFrame:
+    """Messages from the start offsets on, of the partitions that have one."""
     if isinstance(start, int):
         wanted = F.col("offset") >= start
     else:
         wanted = F.lit(False)
         for p, o in start.items():
             wanted = wanted | ((F.col("partition_id") == p) & (F.col("offset") >= o))
-    return messages.filter(wanted).orderBy("offset", "partition_id").limit(limit)
+    return messages.filter(wanted)
+
+
+def consume(messages: DataFrame, start: dict[int, int] | int, limit: int) -> DataFrame:
+    """Messages from the start offsets on, by partition and offset."""
+    return since(messages, start).orderBy("offset", "partition_id").limit(limit)
 
 
 class Topics:
@@ -158,17 +163,31 @@ class Topics:
     def groups(self, name: str) -> list[str]:
         return self.store.names("topics", name, "groups")
 
+    @staticmethod
+    def _start(state: dict, position) -> dict[int, int]:
+        """The first offset asked for, by partition."""
+        if isinstance(position, str) and position.lower() not in ("earliest", "latest"):
+            raise NotFound(f"no position {position}")
+        begin = state["next"] if isinstance(position, str) and position.lower() == "latest" else [int(position) if isinstance(position, int) else 0] * len(state["next"])
+        return dict(enumerate(begin))
+
+    def _since(self, name: str, state: dict, start: dict[int, int]) -> DataFrame:
+        """Messages from the start offsets on; batches that end before every start are not read."""
+        return since(self.messages(name, [b for b, ends in self._ends(state) if any(ends.get(p, 0) > o for p, o in start.items())]), start)
+
+    def reading(self, name: str, position=None, partition: int | None = None) -> DataFrame:
+        """All messages of all partitions (or one) from a position on, in no order and without claims: for any number of them, since none comes to the driver."""
+        state = self.state(name)
+        start = self._start(state, position)
+        return self._since(name, state, start if partition is None else {partition: start[partition]})
+
     def consume(self, name: str, group: str | None = None, position=None, limit: int = 100, partition: int | None = None, now_ms: int | None = None) -> list:
-        """Messages of all partitions (or one). A group goes on from its acknowledged offsets, past what other calls claimed in the last minute;
+        """Messages of all partitions (or one), which the driver holds: ``limit`` is a page. A group goes on from its acknowledged offsets, past what other calls claimed in the last minute;
         a claim that isn't acknowledged in time is handed out again."""
         now = int(time.time() * 1000) if now_ms is None else now_ms
-        if isinstance(position, str) and position.lower() not in ("earliest", "latest"):
-            raise NotFound(f"no position {position}")
         while True:
             state = self.state(name)
-            n = len(state["next"])
-            begin = state["next"] if isinstance(position, str) and position.lower() == "latest" else [int(position) if isinstance(position, int) else 0] * n
-            start = dict(enumerate(begin))
+            start = self._start(state, position)
             if group is not None:
                 version, held = self._group(name, group)
                 live = {int(p): upto for p, (upto, expires) in held["claims"].items() if expires > now}
@@ -176,9 +195,7 @@ class Topics:
                     start[p] = max(int(held["next"].get(str(p), start[p])), live.get(p, 0))
             if partition is not None:
                 start = {partition: start[partition]}
-            # batches that end before every start are not read
-            wanted = [b for b, ends in self._ends(state) if any(ends.get(p, 0) > o for p, o in start.items())]
-            rows = consume(self.messages(name, wanted), start, limit).collect()
+            rows = consume(self._since(name, state, start), start, limit).collect()
             if group is None or not rows:
                 return rows
             claims = {p: c for p, c in held["claims"].items() if c[1] > now}

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import catalogue
 
@@ -87,3 +88,18 @@ def test_not_in_follows_nulls(spark, tmp_path, condition):
     want = duckdb.sql(f"SELECT p_partkey FROM '{tmp_path}/part.parquet/*.parquet' WHERE p_partkey NOT IN (SELECT l_partkey FROM '{tmp_path}/lineitem.parquet/*.parquet' WHERE {condition})").fetchall()
     assert sorted(map(str, got)) == sorted(f"Row(p_partkey={k})" for (k,) in want)
     assert len(want) == {"l_quantity > 10": 0, "l_quantity > 99": 5}.get(condition, 3)
+
+
+def test_partition_choice_takes_pages(spark, monkeypatch):
+    """The driver gets a page of messages at a time, and what a partition lacks or repeats is still noticed."""
+    from strandline.streaming.topics import Topics
+
+    taken, real = [], Topics.consume
+    monkeypatch.setattr(Topics, "consume", lambda self, *a, **b: taken.append(rows := real(self, *a, **b)) or rows)
+    query = catalogue.queries()["t8_partition_choice"]
+    n = spark.read.parquet(f"{D}/orders.parquet").filter("o_orderkey % 3 = 0").count()
+    assert query(spark, D).collect() == [(True, n)] and taken and max(map(len, taken)) <= 100 < n
+    read = Topics.reading
+    for wrong in (lambda m: m.filter("offset <> 120"), lambda m: m.unionAll(m.filter("offset = 120")), lambda m: m.withColumn("partition_id", F.lit(1))):
+        monkeypatch.setattr(Topics, "reading", lambda *a, **b: wrong(read(*a, **b)))  # noqa: B023
+        assert not query(spark, D).first()["own"]
